@@ -1,3 +1,44 @@
 """DuckDB SQL for the rows of the registered queries, where SQL can express them."""
 
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+SQL["op7_url_cascade"] = r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT *, CASE
+  WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+  WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN ('.' || host) LIKE '%.spam-farm.example.org' OR ('.' || host) LIKE '%.casino-win.example.org' OR ('.' || host) LIKE '%.cheap-pills.example.com' THEN 'block'
+  ELSE 'allow' END AS verdict FROM r
+"""
+
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _c in ("<|turn|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+SQL["op4_chat_windows"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, length(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]+', 'x', 'g'), '\s+', '', 'g')) + 4 AS tokens,
+  length('<|turn|>') + length({_ESCAPED.format("role")}) + 1 + length({_ESCAPED.format("text")}) + length('<|end|>') AS chars,
+  row_number() OVER w AS ord FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens AS before,
+  first(role) OVER (PARTITION BY conv_id ORDER BY ord) AS r1, first(tokens) OVER (PARTITION BY conv_id ORDER BY ord) AS t1, first(chars) OVER (PARTITION BY conv_id ORDER BY ord) AS c1 FROM n),
+d AS (SELECT *, greatest((2048 - 256 - CASE WHEN r1 = 'system' THEN t1 ELSE 0 END) // 2, 256) AS stride FROM s),
+v AS (SELECT *, before // stride AS win FROM d),
+h AS (SELECT conv_id, win + 1 AS win, sum(chars) AS chars FROM v WHERE before >= (win + 1) * stride - 256 AND NOT (ord = 1 AND role = 'system') GROUP BY ALL),
+own AS (SELECT conv_id, win, sum(chars) + max(CASE WHEN r1 = 'system' AND win > 0 THEN c1 ELSE 0 END) AS chars FROM v GROUP BY ALL),
+f AS (SELECT own.conv_id, sum(own.chars + coalesce(h.chars, 0)) AS formatted_chars FROM own LEFT JOIN h ON own.conv_id IS NOT DISTINCT FROM h.conv_id AND own.win = h.win GROUP BY ALL),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord) AS said,
+  coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '') AS loss FROM n GROUP BY conv_id)
+SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
+FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
