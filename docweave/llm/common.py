@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def batches_of(texts: list[str], chars: int) -> Iterator[slice]:
+    """Slices of neighbouring texts of together at most so many characters; a longer text by itself."""
+    lo = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > chars:
+            yield slice(lo, i)
+            lo, size = i, 0
+        size += len(x)
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the least node.
 

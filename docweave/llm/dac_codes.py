@@ -17,6 +17,8 @@ folder: the commit protocol keeps lost tasks out and any Hadoop store will do.
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,13 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import batches_of, materialize
 
 CHUNK_BITS = 8
 BLOCK = 512
 MAGIC = b"DAC1"
 #: Words that a worker remembers with their ids; the memory is emptied beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+#: Characters of text that are encoded together.
+BATCH_CHARS = 2_000_000
 #: Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_IDS = 1_000_000
 SEGMENT_SCHEMA = "first_doc long, n_docs long, n_ids long, payload binary"
@@ -110,25 +114,30 @@ class WordEncoder:
 
     Text between blanks is encoded once per worker and remembered; whatever else
     counts as white space stays inside such a chunk and is left to the tokenizer.
-    New chunks are encoded together, a special token between them.
+    New chunks are encoded together, with a fence between them: a character that
+    is one token.  Chunks that hold it, or could take part in a special token,
+    are encoded by themselves, and so is a group whose fences don't add up.
     """
 
-    def __init__(self, path: str, mark: str = "<|endoftext|>"):
+    def __init__(self, path: str, fences: str = "€™★♥"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
+        self.fence, self.fence_id = next((c, ids[0]) for c in fences if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2000):
-            some = words[lo : lo + 2000]
-            ids = np.frombuffer(self._ids(self.mark.join(some)), "<u4")
-            cuts, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
-            self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
+        for lo in range(0, len(words), 200):
+            some = words[lo : lo + 200]
+            raw = self._ids(f" {self.fence} ".join(some))
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.fence_id) * 4
+            if len(cuts) == len(some) - 1:
+                self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
+            else:
+                self.known.update((x, self._ids(x)) for x in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -137,14 +146,20 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {"": b""}
             new = set().union(*split).difference(self.known)
-        marked = [x for x in new if "<|" in x]  # could hold or make up a special token
-        self._learn([x for x in new if "<|" not in x and not x.endswith("<")]) if new else None
-        for x in [*marked, *(x for x in new if "<|" not in x and x.endswith("<"))]:
-            self.known[x] = self._ids(x)
+        alone = {x for x in new if self.fence in x or "<|" in x}
+        self._learn(list(new - alone))
+        self.known.update((x, self._ids(x)) for x in alone)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker process keeps its encoder, and what it remembers, from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordEncoder(path)
+
+
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode whole texts and write segments in ascending doc_id order; the written table.
 
@@ -157,12 +172,9 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text:
     ranged = (rows.repartitionByRange(partitions, "doc_id", F.xxhash64("text")) if partitions else rows.repartitionByRange("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator) -> Iterator:
-        import os
-
         import pandas as pd
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = None
+        encoder = encoder_of(tokenizer_path)
         held_docs: list[int] = []
         held: list[bytes] = []
         size = 0
@@ -174,14 +186,15 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text:
             return pd.DataFrame({"first_doc": [held_docs[0]], "n_docs": [len(held)], "n_ids": [len(ids)], "payload": [encode_ids(np.array(held_docs, np.int64), ends, ids)]})
 
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer_path)
-            for d, raw in zip(batch["doc_id"].tolist(), encoder.encode(batch["text"].tolist()), strict=True):
-                held_docs.append(d)
-                held.append(raw + end)
-                size += len(raw) // 4 + 1
-                if size >= segment_ids:
-                    yield close()
-                    held_docs, held, size = [], [], 0
+            texts, names = batch["text"].tolist(), batch["doc_id"].tolist()
+            for part in batches_of(texts, BATCH_CHARS):
+                for d, raw in zip(names[part], encoder.encode(texts[part]), strict=True):
+                    held_docs.append(d)
+                    held.append(raw + end)
+                    size += len(raw) // 4 + 1
+                    if size >= segment_ids:
+                        yield close()
+                        held_docs, held, size = [], [], 0
         if held:
             yield close()
 

@@ -62,6 +62,22 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of all documents."""
+    from docweave.llm.mixture import mix, taken_words
+
+    rows, spans = mix(table(spark, sf_dir, "documents"))
+    return taken_words(rows, spans).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed and kept of all documents."""
+    from docweave.llm.quality_rules import judge
+
+    out = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

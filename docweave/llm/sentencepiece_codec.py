@@ -11,6 +11,7 @@ Two texts are special: null and empty ones have no ids and decode to ``""``.
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.common import batches_of
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -225,15 +228,10 @@ class Codec:
         return self._reference.encode(texts, num_threads=1)
 
 
-def batches_of(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
-    lo = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > chars:
-            yield slice(lo, i)
-            lo, size = i, 0
-        size += len(x)
-    if lo < len(texts):
-        yield slice(lo, len(texts))
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """A worker process keeps its codec, and what it remembers, from task to task."""
+    return Codec(path)
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, parity: bool = True) -> DataFrame:
@@ -251,12 +249,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = None
+        codec = codec_of(model_path)
         for batch in batches:
-            codec = codec or Codec(model_path)
             is_byte = np.array([k == BYTE for *_, k in codec.model.pieces])
             texts = batch.column("__text").to_pylist()
-            for part in batches_of(texts):
+            for part in batches_of(texts, BATCH_CHARS):
                 some = texts[part]
                 ids = codec.encode(some)
                 same = [len(a) == len(b) and a.tolist() == b for a, b in zip(ids, codec.reference(some), strict=True)] if parity else [None] * len(some)
@@ -278,7 +275,7 @@ def decode_ids(frame: DataFrame, model_path: str, ids: str = "ids", into: str =
     def decode(batches: Iterator) -> Iterator:  # type: ignore[override]
         import pandas as pd
 
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             yield pd.Series([codec.decode(np.asarray(x if x is not None else [], np.int64)).decode("utf-8", "replace") for x in batch])
 
