@@ -8,7 +8,9 @@ all others.  A document is kept if the Jensen-Shannon divergences (base 2, 0 to
 nothing and isn't held against a document.
 
 The references are sums over all documents of the language that pass the base
-rules: one row per language, made with partial sums.  A language without a list
+rules, taken twice: the second time without those that the first references
+find too far off, so that junk doesn't blur them.  That is one row per language,
+made with partial sums.  A language without a list
 of common words is compared by its character classes only.
 
 Null and empty texts have no words and fail the base rules.  Every row is judged
@@ -33,8 +35,10 @@ COMMON_WORDS = {
 }
 PUNCTUATION = r"""[.,;:!?'"()\-]"""
 #: Fewest characters and words for a histogram to count, and the largest divergence of a kept document.
-MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CLASS_JSD, MAX_WORD_JSD = 0.05, 0.30
+MIN_CHARS, MIN_WORDS = 200, 100
+MAX_CLASS_JSD, MAX_WORD_JSD = 0.03, 0.08
+#: A few numbers or names weigh more in a short text: the class limit is higher by this over the number of words.
+SHORT_TEXT_SLACK = 2.5
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -105,6 +109,12 @@ def jsd(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
 
 
+def compared(features: DataFrame, references: DataFrame) -> DataFrame:
+    """The features with class_jsd and word_jsd; null for a language without a reference."""
+    joined = features.join(references, F.col("ref_lang").eqNullSafe(F.col("r_lang")), "left")
+    return joined.withColumn("class_jsd", jsd(F.col("classes"), F.col("r_classes"))).withColumn("word_jsd", jsd(F.col("common"), F.col("r_common")))
+
+
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
     """keep columns, the counts, base_failed, class_jsd, word_jsd, kept of each row.
 
@@ -113,9 +123,11 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     """
     keep = keep or [c for c in docs.columns if c != text]
     features = materialize(text_features(docs, keep, text, lang), "quality-features")
-    refs = references if references is not None else materialize(language_references(features), "quality-references")
-    joined = features.join(refs, F.col("ref_lang").eqNullSafe(F.col("r_lang")), "left")
-    joined = joined.withColumn("class_jsd", jsd(F.col("classes"), F.col("r_classes"))).withColumn("word_jsd", jsd(F.col("common"), F.col("r_common")))
+    if references is None:
+        first = materialize(language_references(features), "quality-references")
+        near = compared(features, first).where((F.col("class_jsd") <= MAX_CLASS_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MAX_WORD_JSD))
+        references = materialize(language_references(near), "quality-references")
+    joined = compared(features, references)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    odd = ((chars >= MIN_CHARS) & (F.col("class_jsd") > MAX_CLASS_JSD)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_jsd") > MAX_WORD_JSD))
+    odd = ((chars >= MIN_CHARS) & (F.col("class_jsd") > MAX_CLASS_JSD + SHORT_TEXT_SLACK / F.greatest("n_words", F.lit(1)))) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_jsd") > MAX_WORD_JSD))
     return joined.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "word_jsd", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))

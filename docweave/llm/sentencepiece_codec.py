@@ -26,7 +26,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded together; a longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Chunks of text whose ids a worker remembers; the memory is emptied beyond it.
 CACHE_CHUNKS = 400_000
 
@@ -188,7 +188,8 @@ class Codec:
         fence = ids[-1]
         groups = [chunks[lo : lo + 1000] for lo in range(0, len(chunks), 1000)]
         texts = [f" {mark} ".join(g) for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        some = (e for lo in range(0, len(texts), 16) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 16], add_special_tokens=False))
+        for g, e in zip(groups, some, strict=True):
             got = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(got == fence)
             raw = got.tobytes()
