@@ -21,6 +21,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,10 +122,16 @@ class WordEncoder:
 
     def __init__(self, path: str, fences: str = "€™★♥"):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fence, self.fence_id = next((c, ids[0]) for c in fences if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
         self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        #: Latin letters as the merges see them: their bytes as visible characters.
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.visible = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
+        self.tails = {c: self._ids(c) for c in ".,"}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -139,18 +146,41 @@ class WordEncoder:
             else:
                 self.known.update((x, self._ids(x)) for x in some)
 
+    def _plain(self, word: str) -> str:
+        """The word in lower case where that cannot matter: the tokenizer lowers Latin letters itself."""
+        return word.lower() if word.isascii() or (max(word) < "\u0180" and "\u0130" not in word) else word
+
+    def _meet(self, new: set[str]) -> None:
+        """Encode new chunks: each form once, without a final stop or comma that is a token of its own."""
+        forms: dict[str, tuple[str, bytes]] = {}
+        for x in new:
+            tail = x[-1] if x[-1] in ".," and len(x) > 1 and x[-2] < "\u0180" and x[-2].isalpha() and x[-2] != "\u0130" else ""
+            forms[x] = (self._plain(x[: len(x) - len(tail)]), tail)
+        want = {form for form, _ in forms.values()}.difference(self.known)
+        letters = {x for x in want if x.isalpha() and (x.isascii() or max(x) < "\u0180") and x.islower()}
+        for x in letters:  # one piece for the merges: nothing to normalise or to split
+            piece = x if x.isascii() else x.translate(self.visible)
+            self.known[x] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        want -= letters
+        alone = {x for x in want if self.fence in x or "<|" in x}
+        self._learn(list(want - alone))
+        self.known.update((x, self._ids(x)) for x in alone)
+        self.known.update((x, self.known[form] + (self.tails[tail] if tail else b"")) for x, (form, tail) in forms.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
+        out: list[bytes] = []
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = set().union(*split).difference(self.known)
-        alone = {x for x in new if self.fence in x or "<|" in x}
-        self._learn(list(new - alone))
-        self.known.update((x, self._ids(x)) for x in alone)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for words in split:
+            get = self.known.get
+            found = list(map(get, words))
+            if None in found:
+                self._meet({w for w, v in zip(words, found, strict=True) if v is None})
+                found = map(self.known.__getitem__, words)
+            out.append(b"".join(found))
+            if len(self.known) > CACHE_WORDS:
+                self.known = {"": b""}
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -144,6 +144,7 @@ class Codec:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.table = np.frombuffer(b"".join(raw), np.uint8)
         self._reference = None
+        self.unequal: set[str] = set()
 
     def _bytes(self, i: int) -> bytes:
         piece, _, kind = self.model.pieces[i]
@@ -161,13 +162,8 @@ class Codec:
         """
         if not self.chunked:
             return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [x.replace(MARK, " ").split(" ") if x else [] for x in texts]
-        # a first chunk carries the dummy prefix as others carry their blank; runs of blanks are joined to the chunk behind
-        ready = []
-        for words in split:
-            if "" in words:
-                words = self._runs(words)
-            ready.append(words)
+        # a first chunk carries the dummy prefix as others carry their blank
+        ready = [self._chunks(x) for x in texts]
         new = list(set().union(*ready).difference(self.known, {""}))
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known = {}
@@ -178,6 +174,7 @@ class Codec:
             self._learn(plain, "\n")
             for x, e in zip(rest := [x for x in new if x not in self.known], self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
+            self._compare(new)
         self.known[""] = self.lone  # a blank at the end of a text
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in ready]
@@ -198,6 +195,29 @@ class Codec:
             if len(spans) == len(g):
                 self.known.update(zip(g, (raw[i:j] for i, j in spans), strict=True))
 
+    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the ids are those of the sentencepiece library.
+
+        Where nothing is ever joined across markers, both libraries' ids of a
+        text are those of its chunks, so each chunk is compared when it is
+        learnt, and a text is at parity if all its chunks are.
+        """
+        if not self.chunked:
+            return [a.tolist() == b for a, b in zip(ids, self.reference(texts), strict=True)]
+        if not self.unequal:
+            return [True] * len(texts)
+        return [self.unequal.isdisjoint(self._chunks(x)) for x in texts]
+
+    def _chunks(self, text: str) -> list[str]:
+        """A text's chunks: the words between blanks, each with the extra blanks before it."""
+        words = text.replace(MARK, " ").split(" ") if text else []
+        return self._runs(words) if "" in words else words
+
+    def _compare(self, chunks: list[str]) -> None:
+        for x, b in zip(chunks, self.reference(chunks), strict=True):
+            if np.frombuffer(self.known[x], "<u4").tolist() != b:
+                self.unequal.add(x)
+
     def _runs(self, words: list[str]) -> list[str]:
         """Words of a text split at every blank, with the empty ones joined to the next: ``" "`` per extra blank."""
         out, blanks = [], 0
@@ -239,7 +259,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     """The rows' ``keep`` columns, and ids array<int>, n_tokens, n_bytes_ids, parity, round_trip.
 
     parity: the ids equal those of the sentencepiece library (null if not asked
-    for).  round_trip: decoding gives the text again.  No shuffle; a batch of
+    for); see ``Codec.parity``.  round_trip: decoding gives the text again.  No shuffle; a batch of
     texts at a time is held.
     """
     keep = keep or [c for c in docs.columns if c != text]
@@ -257,7 +277,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
             for part in batches_of(texts, BATCH_CHARS):
                 some = texts[part]
                 ids = codec.encode(some)
-                same = [len(a) == len(b) and a.tolist() == b for a, b in zip(ids, codec.reference(some), strict=True)] if parity else [None] * len(some)
+                same = codec.parity(some, ids) if parity else [None] * len(some)
                 back = [codec.decode(a) == x.encode() for a, x in zip(ids, some, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in ids])])
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
