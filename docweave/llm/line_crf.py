@@ -246,15 +246,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """keep columns and score of every row; whole texts, no shuffle."""
     keep = keep or [c for c in docs.columns if c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", score double"
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", score double"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = [x or "" for x in batch.column(text).to_pylist()]
             scores = [s for part in batches_of(texts, BATCH_CHARS) for s in (model.scores(texts[part]) if model else [0.5] * (part.stop - part.start))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     return rows.mapInArrow(run, schema)

@@ -164,8 +164,8 @@ def nearest_pairs(left: np.ndarray, right: np.ndarray, matches: np.ndarray, k: i
 
 
 def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null if empty), bands, sig of every row; no shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """doc_id, digest (of the text), n_shingles, node (a digest of the set; null if empty), bands, sig of every row; no shuffle."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -186,9 +186,9 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                     node.append(None)
                     bands.append(None)
                     sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_shingles", "node", "bands", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, bands array<long>, sig binary")
+    return rows.mapInArrow(run, f"doc_id {id_type}, digest long, n_shingles long, node binary, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -306,7 +306,7 @@ def _confirm_rest(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+    """doc_id, digest, n_shingles, component_id, kept of every row.
 
     Links join documents with 100 * intersection >= percent * union.  Rows of
     equal sets are one class; component_id is the least doc_id of all classes
@@ -341,6 +341,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reached = joined.where("component is not null")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     named = reached.join(least, "component").select("node", "component_id").unionByName(joined.where("component is null and n > 1").select("node", F.col("least").alias("component_id")))
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = signed.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one of each group; repeated rows are one."""
+    kept = near_duplicates(docs, doc_id, text).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(kept.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__t"), "n"), "kept")
+    keyed = docs.withColumn("__digest", F.xxhash64(F.col(text)))
+    out = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__t")), "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        out = out.dropDuplicates([doc_id, "__digest"])
+    return out.drop("__digest")

@@ -105,7 +105,7 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of all documents."""
     from docweave.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
