@@ -1,12 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Documents that the quality classifier or the quality rules reject go; one
+document of each group of near duplicates stays; the mix takes documents, or
+parts of them, as often as their sources' weights say; the last stage encodes
+what is left.  Each stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docweave.llm import line_crf, minhash_dedup, mixture, quality_rules, sentencepiece_codec
 from docweave.llm.common import materialize, table
+from docweave.llm.queries import TOKENIZERS
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose line model's score reaches the threshold."""
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model, keep=COLUMNS).where(F.col("score") >= line_crf.THRESHOLD).select(*COLUMNS)
+
+
+def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose histograms are near their language's."""
+    return quality_rules.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash_dedup.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document and epoch of the mix, with the words that the epoch takes of it."""
+    rows, spans = mixture.mix(docs, carry=["text", "lang"])
+    return mixture.mixed_rows(rows, spans).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every row."""
+    return sentencepiece_codec.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rule_filter),
+    ("near-duplicate removal", near_dedup),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: Training, hashing and tokenizing can't be said in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -16,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            docs = materialize(docs, f"stage-{k}")
     return docs
