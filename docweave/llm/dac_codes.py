@@ -110,77 +110,52 @@ class Segment:
         return values
 
 
-class WordEncoder:
-    """Encodes whole texts with a tokenizer whose tokens never hold white space.
-
-    Text between blanks is encoded once per worker and remembered; whatever else
-    counts as white space stays inside such a chunk and is left to the tokenizer.
-    New chunks are encoded together, with a fence between them: a character that
-    is one token.  Chunks that hold it, or could take part in a special token,
-    are encoded by themselves, and so is a group whose fences don't add up.
+class WordEncoder(dict):
+    """The ids of chunks between blanks, as bytes, for a tokenizer whose tokens never hold white space.
+
+    A chunk is encoded once per worker and remembered; whatever else counts as
+    white space stays inside it and is left to the tokenizer.  Words of Latin
+    letters go straight to the merges, which take them as one piece: in lower
+    case, and without a final stop or comma, which is a token of its own.
     """
 
-    def __init__(self, path: str, fences: str = "€™★♥"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.fence, self.fence_id = next((c, ids[0]) for c in fences if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
-        self.known: dict[str, bytes] = {"": b""}
-        self.model = self.tokenizer.model
-        #: Latin letters as the merges see them: their bytes as visible characters.
+        self.merges = self.tokenizer.model.tokenize
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Latin letters as the merges see them: their bytes as visible characters.
         self.visible = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
-        self.tails = {c: self._ids(c) for c in ".,"}
+        self.marks = {c: self._ids(c) for c in ".,"}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 200):
-            some = words[lo : lo + 200]
-            raw = self._ids(f" {self.fence} ".join(some))
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.fence_id) * 4
-            if len(cuts) == len(some) - 1:
-                self.known.update(zip(some, (raw[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
-            else:
-                self.known.update((x, self._ids(x)) for x in some)
-
-    def _plain(self, word: str) -> str:
-        """The word in lower case where that cannot matter: the tokenizer lowers Latin letters itself."""
-        return word.lower() if word.isascii() or (max(word) < "\u0180" and "\u0130" not in word) else word
-
-    def _meet(self, new: set[str]) -> None:
-        """Encode new chunks: each form once, without a final stop or comma that is a token of its own."""
-        forms: dict[str, tuple[str, bytes]] = {}
-        for x in new:
-            tail = x[-1] if x[-1] in ".," and len(x) > 1 and x[-2] < "\u0180" and x[-2].isalpha() and x[-2] != "\u0130" else ""
-            forms[x] = (self._plain(x[: len(x) - len(tail)]), tail)
-        want = {form for form, _ in forms.values()}.difference(self.known)
-        letters = {x for x in want if x.isalpha() and (x.isascii() or max(x) < "\u0180") and x.islower()}
-        for x in letters:  # one piece for the merges: nothing to normalise or to split
-            piece = x if x.isascii() else x.translate(self.visible)
-            self.known[x] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        want -= letters
-        alone = {x for x in want if self.fence in x or "<|" in x}
-        self._learn(list(want - alone))
-        self.known.update((x, self._ids(x)) for x in alone)
-        self.known.update((x, self.known[form] + (self.tails[tail] if tail else b"")) for x, (form, tail) in forms.items())
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[chunk] = raw = self._learn(chunk)
+        return raw
+
+    def _learn(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        mark = self.marks.get(chunk[-1])
+        word = chunk[:-1] if mark else chunk
+        if not word.isalpha() or not (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
+            return self._ids(chunk)
+        low = word.lower()
+        if low != chunk:
+            return self[low] + (mark or b"")
+        return array("I", [t.id for t in self.merges(low if low.isascii() else low.translate(self.visible))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        out: list[bytes] = []
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        for words in split:
-            get = self.known.get
-            found = list(map(get, words))
-            if None in found:
-                self._meet({w for w, v in zip(words, found, strict=True) if v is None})
-                found = map(self.known.__getitem__, words)
-            out.append(b"".join(found))
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-        return out
+        get = self.__getitem__
+        return [b"".join(map(get, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for x in texts]
 
 
 @functools.lru_cache(maxsize=2)
