@@ -96,12 +96,15 @@ def normalize_match(c: Column) -> Column:
     return _normal(c, r"[^a-z0-9/._-]+")
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility composition, which Spark has no function for."""
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition, which Spark has no function for."""
+    return F.pandas_udf(_nfkc, "string")(c)
+
+
 def repair_characters(c: Column, compose: bool = True) -> Column:
     """Composed characters, plain quotes and dashes, dates and document numbers as printed."""
     out = nfkc(c) if compose else c
@@ -238,6 +241,22 @@ def places(norm: Column, word: Column) -> Column:
     return F.aggregate(heads, start, step)["at"]
 
 
+def match_places(c: Column, pattern: str) -> Column:
+    """All matches of a pattern as (at, m): the place (from 1) and the text; c should be a plain column."""
+
+    def place(parts: Column) -> Column:
+        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<at:int,m:string>>").alias("all"))
+
+        def step(acc: Column, p: Column) -> Column:
+            at = acc["end"] + F.length(p["head"])
+            return F.struct((at + F.length(p["m"])).alias("end"), F.array_append(acc["all"], F.struct(at.alias("at"), p["m"].alias("m"))).alias("all"))
+
+        return F.aggregate(F.filter(F.arrays_zip(parts.alias("head"), found.alias("m")), lambda p: p["m"].isNotNull()), start, step)["all"]
+
+    return let(F.split(c, pattern, -1), place)
+
+
 def first_date(c: Column) -> Column:
     """The first date of a text, numeric ones before worded ones."""
     return F.coalesce(missing(F.regexp_extract(c, DATE_NUMERIC, 0)), missing(collapse(F.regexp_extract(c, DATE_WORDED, 0))))
@@ -312,7 +331,10 @@ def _ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "").ratio()
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """the Ratcliff-Obershelp ratio of two strings."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """the Ratcliff-Obershelp ratio of two strings."""
+    return F.pandas_udf(_ratios, "double")(a, b)

@@ -180,18 +180,23 @@ def signed_date(kind: Column) -> Column:
 def latest_date() -> Column:
     """E5: of all dates whose surroundings cite no other text, the latest; of equal ones the last.
 
-    The surroundings are the 120 characters before and 50 behind, captured with
-    each match.
+    The surroundings are the 120 characters before and 50 behind.
     """
+    body = F.col("body")
 
     def of(pattern: str, order: int) -> Column:
-        whole = rf"(?suU)(.{{0,120}}?)({pattern})(?=(.{{0,50}}))"
-        parts = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(whole), F.lit(g)).alias(n) for g, n in ((1, "b"), (2, "m"), (3, "a"))])
-        own = F.filter(parts, lambda p: ~cites(normalize_rules(F.concat(p["b"], p["m"], p["a"]))))
-        return F.transform(own, lambda p, i: F.struct(T.iso_date(p["m"]).alias("iso"), F.lit(order).alias("o"), i.alias("i"), collapse(F.concat(F.regexp_extract(p["b"], r"[^\n]*$", 0), p["m"], F.regexp_extract(p["a"], r"^[^\n]*", 0))).alias("line")))
+        def around(p: Column) -> Column:
+            start = F.greatest(p["at"] - 120, F.lit(1))
+            return F.substring(body, start, p["at"] - start + F.length(p["m"]) + 50)
+
+        def line(p: Column) -> Column:
+            return collapse(F.concat(F.regexp_extract(F.substring(body, F.lit(1), p["at"] - 1), r"[^\n]*$", 0), F.regexp_extract(F.substring(body, p["at"], F.lit(2000)), r"^[^\n]*", 0)))
+
+        own = F.filter(T.match_places(body, pattern), lambda p: ~cites(normalize_rules(around(p))))
+        return F.transform(own, lambda p, i: F.struct(T.iso_date(p["m"]).alias("iso"), F.lit(order).alias("o"), i.alias("i"), line(p).alias("line")))
 
     worded = T.DATE_WORDED.replace("(?iu)", "(?iu:").replace("(\\d{1,2})", "\\d{1,2}").replace("(\\d{4})", "\\d{4}") + ")"
-    found = F.concat(of(r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", 0), of(worded, 1))
+    found = F.concat(of(T.DATE_NUMERIC, 0), of(worded, 1))
     return let(F.array_max(F.filter(found, lambda x: x["iso"].isNotNull())), lambda m: field(T.display_date(m["iso"]), m["iso"], m["line"], 0.70))
 
 

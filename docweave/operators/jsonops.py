@@ -115,7 +115,7 @@ def tiebreaker_choice(answer: Column, ids: Column) -> Column:
 
 def fingerprint(*columns: Column) -> Column:
     """A digest of values in a fixed order; nulls count."""
-    return F.sha2(compact_json(F.struct(*columns)), 256)
+    return F.sha2(compact_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])), 256)
 
 
 def compact_error(message: Column) -> Column:
