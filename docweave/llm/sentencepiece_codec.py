@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,18 +295,12 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
 
 def decode_ids(frame: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The frame with the text of its ids; invalid UTF-8 becomes the replacement character."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def decode(batches: Iterator) -> Iterator:  # type: ignore[override]
-        import pandas as pd
 
+    def decode(values: pd.Series) -> pd.Series:
         codec = codec_of(model_path)
-        for batch in batches:
-            yield pd.Series([codec.decode(np.asarray(x if x is not None else [], np.int64)).decode("utf-8", "replace") for x in batch])
+        return pd.Series([codec.decode(np.asarray(x if x is not None else [], np.int64)).decode("utf-8", "replace") for x in values])
 
-    decode.__annotations__ = {}
-    return frame.withColumn(into, decode(F.col(ids)))
+    return frame.withColumn(into, F.pandas_udf(decode, "string")(F.col(ids)))
 
 
 def describe(path: str) -> str:
