@@ -197,10 +197,14 @@ def rank_tasks(queries: DataFrame, tasks: DataFrame, top: int = 3) -> DataFrame:
     return again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("active")
 
 
+SITE = r"(?iuU)\b(?:dự án|du an|công trình|cong trinh)\b\s*[:\-]?"
+
+
 def project_tail(title: Column) -> Column:
-    """what a title says behind the word for project."""
-    parts = F.split(title, r"(?iuU)\b(?:dự án|công trình)\b\s*[:\-]?", -1)
-    return F.when(F.size(parts) > 1, missing(strip_edges(collapse(F.element_at(parts, -1)))))
+    """what a title says behind its first word for a project, up to the next kind of detail."""
+    tail = F.get(F.split(title, SITE, 2), F.lit(1))
+    cut = F.get(F.split(tail, r"(?iuU)\s+(?:địa điểm|dia diem|chủ đầu tư|chu dau tu|nguồn vốn|nguon von|gói thầu|goi thau|hạng mục|hang muc)\b", 2), F.lit(0))
+    return missing(strip_edges(cut))
 
 
 def _queries(values: Column, doc_id: str, df: DataFrame, least: int) -> DataFrame:
@@ -211,14 +215,14 @@ def _queries(values: Column, doc_id: str, df: DataFrame, least: int) -> DataFram
 
 def project_queries(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """the project candidates of a document, its title's tail and its title, each once."""
-    values = F.concat(F.coalesce("project_name_candidates", F.array().cast("array<string>")), F.array(project_tail(F.col("title")), F.col("title")))
+    values = F.concat(F.coalesce("project_name_candidates", F.array().cast("array<string>")), F.array(F.coalesce(project_tail(F.col("title")), "title"), F.col("title")))
     return _queries(values, doc_id, df, 1)
 
 
 def task_queries(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """the variants of a document's title of four characters or more."""
-    subject = F.regexp_replace("title", r"(?iu)^.*?(?:về việc|v/v)\s*[:\-]?\s*", "")
-    return _queries(F.array(F.col("title"), subject), doc_id, df, 4)
+    """a document's title, without the words for subject, and of that what stands before the project; four characters or more."""
+    plain = F.regexp_replace("title", r"(?iuU)\b(v/v|về việc|ve viec)\b", " ")
+    return _queries(F.array(F.col("title"), plain, F.get(F.split(plain, SITE, 2), F.lit(0))), doc_id, df, 4)
 
 
 def needs_tiebreak(score: Column, threshold: float, gap: float = LLM_GAP) -> Column:

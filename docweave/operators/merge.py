@@ -200,11 +200,12 @@ def extract_information(docs: DataFrame, kind: str = "document", mode: str = "of
     used = rules
     if provider is not None and mode != "off":
         df = C.with_lines(cleaned)
-        context = df.select("doc_id", C.is_registration().alias("is_registration"), C.money_signal(F.col("body")).alias("money_signal"))
-        routed = routing(wide.join(context, "doc_id", "left"), kind)
+        numbers = F.transform(F.filter(C.head(60), lambda x: C.is_number_line(x["t"])), lambda x: F.coalesce(canonical_number(x["t"]), F.lit("")))
+        context = df.select("doc_id", C.is_registration().alias("is_registration"), C.money_signal(F.col("body")).alias("money_signal"), numbers.alias("number_lines"))
+        routed = routing(wide.join(context.drop("number_lines"), "doc_id", "left"), kind)
         used = merge_fields(rules, provider(routed if mode == "always" else routed.where("use_llm")))
         if kind == "document":
-            used = route_values(used, wide.select("doc_id", "value_role"))
+            used = route_values(guard_fields(used, rules, context), wide.select("doc_id", "value_role"))
     score = confidence(used, wide, "contract" if kind == "contract" else "work_detail")
     packed = used.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_key", F.struct(*COLUMNS).alias("f"))))).alias("fields"))
     intent = F.lit("contract") if kind == "contract" else F.col("intent")

@@ -17,9 +17,9 @@ SUFFIXES = {
     ".jpeg": "image/jpeg", ".tif": "image/tiff", ".tiff": "image/tiff", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp", ".txt": "text/plain", ".html": "text/html",
 }
 OCR_SCHEMA = (
-    "responses array<struct<error:struct<message:string>,fullTextAnnotation:struct<pages:array<struct<width:double,height:double,blocks:array<struct<paragraphs:array<struct<words:array<struct<"
+    "responses array<struct<responses:array<struct<error:struct<message:string>,fullTextAnnotation:struct<pages:array<struct<width:double,height:double,blocks:array<struct<paragraphs:array<struct<words:array<struct<"
     "confidence:double,boundingBox:struct<vertices:array<struct<x:double,y:double>>,normalizedVertices:array<struct<x:double,y:double>>>,"
-    "symbols:array<struct<text:string,confidence:double,property:struct<detectedBreak:struct<type:string>>>>>>>>>>>>>>>"
+    "symbols:array<struct<text:string,confidence:double,property:struct<detectedBreak:struct<type:string>>>>>>>>>>>>>>>>>"
 )
 Provider = Callable[[DataFrame], DataFrame]
 
@@ -76,6 +76,11 @@ def documents(texts: DataFrame, text: str = "text", kind: str | None = None) ->
     return texts.withColumn("text", F.coalesce(F.col(text), F.lit(""))).withColumn("type", F.lit(kind or "document"))
 
 
+def page_answers(j: Column) -> Column:
+    """An answer's pages: each file's responses, one behind the other."""
+    return F.flatten(F.filter(F.transform(j["responses"], lambda f: f["responses"]), lambda r: r.isNotNull()))
+
+
 def ocr_words(answers: DataFrame, payload: str = "payload", page_offset: str | None = None) -> DataFrame:
     """OCR answers (doc_id, JSON) as words with page, paragraph, break and box.
 
@@ -83,7 +88,7 @@ def ocr_words(answers: DataFrame, payload: str = "payload", page_offset: str | N
     """
     offset = F.col(page_offset) if page_offset else F.lit(0)
     read = answers.select("doc_id", offset.alias("offset"), F.from_json(payload, OCR_SCHEMA).alias("j"))
-    pages = read.select("doc_id", "offset", F.posexplode("j.responses").alias("i", "r")).where("r.error.message is null").select("doc_id", (F.col("offset") + F.col("i") + 1).alias("page"), F.explode("r.fullTextAnnotation.pages").alias("p"))
+    pages = read.select("doc_id", "offset", F.posexplode(page_answers(F.col("j"))).alias("i", "r")).where("r.error.message is null").select("doc_id", (F.col("offset") + F.col("i") + 1).alias("page"), F.explode("r.fullTextAnnotation.pages").alias("p"))
     paras = pages.select("doc_id", "page", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), F.posexplode("p.blocks").alias("block", "b")).select("doc_id", "page", "pw", "ph", "block", F.posexplode("b.paragraphs").alias("pi", "para"))
     words = paras.select("doc_id", "page", "pw", "ph", (F.col("block") * 100000 + F.col("pi")).alias("para"), F.posexplode("para.words").alias("word", "w"))
     box = normalized_box(F.coalesce(F.when(F.size("w.boundingBox.normalizedVertices") > 0, F.col("w.boundingBox.normalizedVertices")), F.col("w.boundingBox.vertices")), F.col("pw"), F.col("ph"), F.coalesce(F.size("w.boundingBox.normalizedVertices") > 0, F.lit(False)))
@@ -97,8 +102,8 @@ def ocr_words(answers: DataFrame, payload: str = "payload", page_offset: str | N
 def ocr_errors(answers: DataFrame, payload: str = "payload", expected: str | None = None) -> DataFrame:
     """(doc_id, code, message) of answers with a page's error or another number of pages than expected."""
     read = answers.select("doc_id", *([F.col(expected).alias("expected")] if expected else [F.lit(None).cast("int").alias("expected")]), F.from_json(payload, OCR_SCHEMA).alias("j"))
-    message = F.get(F.filter(F.transform("j.responses", lambda r: r["error"]["message"]), lambda m: m.isNotNull()), F.lit(0))
-    bad = read.select("doc_id", message.alias("message"), (F.size("j.responses") != F.col("expected")).alias("count"))
+    message = F.get(F.filter(F.transform(page_answers(F.col("j")), lambda r: r["error"]["message"]), lambda m: m.isNotNull()), F.lit(0))
+    bad = read.select("doc_id", message.alias("message"), (F.size(page_answers(F.col("j"))) != F.col("expected")).alias("count"))
     return bad.where("message is not null or count").select("doc_id", F.when(F.col("message").isNotNull(), "page_error").otherwise("page_count_mismatch").alias("code"), F.coalesce("message", F.lit("")).alias("message"))
 
 
