@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batches_of, materialize
+from docweave.llm.common import batches_of, materialize, small_batches, tidy
 
 CHUNK_BITS = 8
 BLOCK = 512
@@ -203,7 +203,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text:
         if held:
             yield close()
 
-    return materialize(ranged.mapInPandas(run, SEGMENT_SCHEMA), "dac")
+    small_batches(docs.sparkSession)
+    return materialize(ranged.mapInPandas(tidy(run), SEGMENT_SCHEMA), "dac")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pd.DataFrame({"seg": number, "first_doc": seg.doc_ids[0], "last_doc": seg.doc_ids[-1], "n_ids": seg.n, "doc_id": seg.doc_ids, "at": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist())]})
 
-    local = segments.select(F.monotonically_increasing_id().alias("seg"), "payload").mapInPandas(run, "seg long, first_doc long, last_doc long, n_ids long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    local = segments.select(F.monotonically_increasing_id().alias("seg"), "payload").mapInPandas(tidy(run), "seg long, first_doc long, last_doc long, n_ids long, doc_id long, at long, n_tokens long, ids_crc32 long")
     local = materialize(local, "dac-docs")
     firsts = local.where("at = 0").select("seg", "first_doc", "last_doc", "n_ids")
     base = firsts.select("seg", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import materialize, small_batches, tidy
 from docweave.llm.url_cascade import split_url
 
 MAIN, OPEN, DROPPED = 1, 2, 3
@@ -190,7 +190,8 @@ def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), batch.column("digest"), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "path", "digest", "hashes"])
 
     rows = pages.select(host.alias("host"), path.alias("path"), F.xxhash64(F.col(html)).alias("digest"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    parsed = rows.mapInArrow(run, "host string, path string, digest long, hashes array<long>")
+    small_batches(pages.sparkSession)
+    parsed = rows.mapInArrow(tidy(run), "host string, path string, digest long, hashes array<long>")
     return parsed.groupBy("host", "path").agg(F.min_by("hashes", "digest").alias("hashes"))
 
 
@@ -237,4 +238,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "text string"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

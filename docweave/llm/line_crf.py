@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batches_of
+from docweave.llm.common import batches_of, small_batches, tidy
 
 MAX_TRAIN_DOCS = 4000
 TRAIN_LINES = 32
@@ -257,4 +257,5 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, t
             scores = [s for part in batches_of(texts, BATCH_CHARS) for s in (model.scores(texts[part]) if model else [0.5] * (part.stop - part.start))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(tidy(run), schema)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, UPPER, batches_of, connected_components, materialize
+from docweave.llm.common import LOWER, UPPER, batches_of, connected_components, materialize, small_batches, tidy
 
 SHINGLE, ROWS, BANDS = 5, 6, 24
 HASHES = ROWS * BANDS
@@ -44,7 +44,7 @@ PERCENT = 85
 BATCH, MISS = 16, 1e-4
 NEAREST, BLOCK = 3, 1024
 BATCH_CHARS = 2_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 BUCKET_ROWS = 8192
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.Generator(np.random.PCG64(20))
@@ -188,7 +188,8 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                     sig.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_shingles", "node", "bands", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, digest long, n_shingles long, node binary, bands array<long>, sig binary")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(tidy(run), f"doc_id {id_type}, digest long, n_shingles long, node binary, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -205,7 +206,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
                 sets = [shingle_set(x) for x in texts[part]]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    found = rows.mapInArrow(run, "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi")
+    small_batches(docs.sparkSession)
+    found = rows.mapInArrow(tidy(run), "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi")
     return found.dropDuplicates(["node"])
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batches_of
+from docweave.llm.common import batches_of, small_batches, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -32,7 +32,7 @@ BATCH_CHARS = 1_000_000
 #: Threads of the library in a worker process, unless its environment says otherwise.
 THREADS = "2"
 #: Chunks of text whose ids a worker remembers; the memory is emptied beyond it.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -290,7 +290,8 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array([len(a) for a in ids], pa.int64()), pa.array([int(is_byte[a].sum()) for a in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", "n_tokens", "n_byte_ids", "parity", "round_trip"])
 
-    return source.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(frame: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
