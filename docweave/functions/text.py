@@ -40,7 +40,7 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-_FOLD = _fold_table()
+FOLD = _fold_table()
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -71,7 +71,7 @@ def strip_edges(c: Column, chars: str = EDGE) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Lower case without accents."""
-    return F.regexp_replace(F.translate(F.lower(c), *_FOLD), r"\p{Mn}+", "")
+    return F.regexp_replace(F.translate(F.lower(c), *FOLD), r"\p{Mn}+", "")
 
 
 def _normal(c: Column, drop: str) -> Column:

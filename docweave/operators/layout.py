@@ -3,20 +3,29 @@
 Segments are rows (doc_id, page, ord, seg_id, text, x, y, width, height).
 Groups come from three hops to the next segment of the column; candidates for a
 field come from equi-joins on tokens and trigrams with their document
-frequencies; only the short list meets the string ratio.  The last step, fields
-that take their boxes one after another, is a fold per document.
+frequencies; only the short list meets the string ratio.  Fields that take their
+boxes one after another are a fold per document, over the same index.
 """
 
 from __future__ import annotations
 
+import collections
+import difflib
+import functools
+import heapq
+import itertools
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import missing, normalize_layout, sequence_ratio, trigrams
+from docweave.functions.text import FOLD, missing, normalize_layout, sequence_ratio, trigrams
 
 MAX_FUZZY = 50
 ACCEPT_EVIDENCE, ACCEPT = 0.7, 0.48
+_FOLDED = str.maketrans(*FOLD)
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def union_box(prefix: str = "") -> list[Column]:
@@ -152,48 +161,137 @@ def shortlist(texts: DataFrame, groups: DataFrame, limit: int = MAX_FUZZY) -> Da
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("exact") | (F.col("place") <= limit)).select("doc_id", "t_id", "g_ord", "exact", "place", "t_norm", "t_tokens", "g_norm", "g_tokens", "members", "n")
 
 
+class _Lines:
+    """The lines of one document and their groups, indexed by tokens and trigrams."""
+
+    def __init__(self, segments: pd.DataFrame):
+        self.rows = list(segments.sort_values("ord").itertuples())
+        placed = sorted((i for i, r in enumerate(self.rows) if r.x == r.x and r.y == r.y), key=lambda i: (self.rows[i].page, self.rows[i].y, self.rows[i].x, i))
+        follows = {i: next((j for j in self._behind(placed, k) if self._in_column(i, j)), None) for k, i in enumerate(placed)}
+        self.groups: list[tuple[int, ...]] = [(i,) for i in range(len(self.rows))]
+        for i in placed:
+            chain = (i,)
+            while len(chain) < 4 and follows[chain[-1]] is not None:
+                chain += (follows[chain[-1]],)
+                self.groups.append(chain)
+        self.norms = [plain_layout("\n".join(self.rows[i].text or "" for i in g)) for g in self.groups]
+        self.tokens = [frozenset(n.split()) for n in self.norms]
+        self.grams = [gram_set(n) for n in self.norms]
+        self.by_token, self.by_gram = _postings(self.tokens), _postings(self.grams)
+        self.of_line: dict[int, list[int]] = {}
+        for g, members in enumerate(self.groups):
+            for i in members:
+                self.of_line.setdefault(i, []).append(g)
+
+    def _behind(self, placed: list[int], k: int):
+        page = self.rows[placed[k]].page
+        return itertools.takewhile(lambda j: self.rows[j].page == page, placed[k + 1 :])
+
+    def _in_column(self, i: int, j: int) -> bool:
+        a, b = self.rows[i], self.rows[j]
+        overlap = min(a.x + a.width, b.x + b.width) - max(a.x, b.x)
+        return -0.01 <= b.y - (a.y + a.height) <= 0.08 and abs(a.x - b.x) <= 0.18 and overlap >= -0.02
+
+    def shortlist(self, text: str, limit: int) -> list[int]:
+        """Groups worth comparing: those that hold or are held, then the best of those with rare tokens or trigrams in common."""
+        tokens, grams, n = frozenset(text.split()), gram_set(text), len(self.groups)
+
+        @functools.cache
+        def likeness(g: int) -> tuple[float, int]:
+            part = 0.72 * len(tokens & self.tokens[g]) / max(len(tokens), 1) + 0.28 * len(grams & self.grams[g]) / max(len(grams), 1)
+            return -part, g
+
+        exact = [g for g, own in enumerate(self.norms) if text in own or (len(own) >= 4 and own in text)]
+        rare = [t for t in tokens if 0 < len(self.by_token.get(t, ())) <= max(12, n // 8)]
+        pool = set(exact).union(*(self.by_token[t] for t in heapq.nsmallest(4, rare, key=lambda t: (len(self.by_token[t]), t))))
+        if not rare:
+            for part, g in heapq.nsmallest(20, map(likeness, range(len(self.rows)))):
+                if part < 0:
+                    pool.update(self.of_line[g])
+        if len(pool) < limit:
+            votes = collections.Counter(g for t in grams if len(self.by_gram.get(t, ())) <= max(40, n // 3) for g in self.by_gram.get(t, ()))
+            pool.update(heapq.nsmallest(2 * limit, votes, key=lambda g: (-votes[g], g)))
+        return exact + [g for _, g in heapq.nsmallest(limit, map(likeness, pool.difference(exact)))]
+
+
+def plain_layout(text: str) -> str:
+    """normalize_layout of a Python string."""
+    low = _MARKS.sub("", text.lower().translate(_FOLDED))
+    low = re.sub(r"\s+([,.:;])", r"\1", re.sub(r"[^a-z0-9%/.,:-]+", " ", low))
+    return " ".join(re.sub(r"\s*([/-])\s*", r"\1", low).split())
+
+
+def gram_set(norm: str) -> frozenset[str]:
+    padded = f"  {norm}  "
+    return frozenset(map("".join, zip(padded, padded[1:], padded[2:])))
+
+
+def _postings(sets: list[frozenset]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for g, members in enumerate(sets):
+        for m in members:
+            out.setdefault(m, []).append(g)
+    return out
+
+
+def text_score(needle: str, hay: str) -> float:
+    """F15 of two normal forms."""
+    if not needle or not hay:
+        return 0.0
+    if needle in hay:
+        return 0.82 + 0.18 * len(needle) / len(hay)
+    if len(hay) >= 4 and hay in needle:
+        return 0.72 + 0.18 * len(hay) / len(needle)
+    words = set(needle.split())
+    return max(0.78 * difflib.SequenceMatcher(None, needle, hay).ratio(), 0.84 * len(words & set(hay.split())) / max(len(words), 1))
+
+
+def document_boxes(fields: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
+    """F19, F21 for one document: its fields take their boxes one after another."""
+    lines, used, out = _Lines(segments), set(), []
+
+    def best(texts: list[str]) -> tuple[float, tuple[int, ...]]:
+        found: tuple[float, tuple[int, ...]] = (0.0, ())
+        for g in dict.fromkeys(g for t in texts for g in lines.shortlist(t, MAX_FUZZY)):
+            members = lines.groups[g]
+            for t in texts:
+                score = text_score(t, lines.norms[g]) * 0.94 ** len(used.intersection(members))
+                words = set(t.split())
+                if len(members) > 1 and len(words & lines.tokens[g]) >= 0.8 * max(len(words), 1):
+                    score = min(1.0, score + 0.04)
+                if score > found[0]:
+                    found = (score, members)
+        return found
+
+    for f in fields.sort_values("f_ord").itertuples():
+        evidence, others = (list(filter(None, map(plain_layout, filter(None, some)))) for some in ([f.evidence], [f.value, f.norm]))
+        score, members = best(evidence)
+        if score < ACCEPT_EVIDENCE and others:
+            score, members = best(evidence + others)
+        if score < ACCEPT:
+            continue
+        used.update(members)
+        rows = [lines.rows[i] for i in members]
+        left, top = min(r.x for r in rows), min(r.y for r in rows)
+        right, bottom = max(r.x + r.width for r in rows), max(r.y + r.height for r in rows)
+        out.append((f.doc_id, f.f_ord, round(score, 4), [r.seg_id for r in rows], rows[0].page, round(left, 6), round(top, 6), round(right - left, 6), round(bottom - top, 6), "\n".join(r.text or "" for r in rows)))
+    return pd.DataFrame(out, columns=["doc_id", "f_ord", "score", "segment_ids", "page", "x", "y", "width", "height", "box_text"])
+
+
 def attach_boxes(fields: DataFrame, segments: DataFrame) -> DataFrame:
     """fields (doc_id, f_ord, field_key, evidence, value, norm) with page, box, score and segments.
 
-    Scores of a field's texts with its short list are made relationally; then a
-    document's fields take their boxes in order, a group counting 0.94 for each
-    segment taken before.  Evidence that reaches 0.7 decides alone; else all
-    texts together must reach 0.48.
+    A document's fields and segments meet once, by doc_id, and its boxes are
+    chosen there: they depend on each other in order.  Evidence that reaches 0.7
+    decides alone; else all texts together must reach 0.48; a group counts 0.94
+    for each segment taken before.  A document is bounded by its pages.
     """
-    t = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(("evidence", "value", "norm"))])
-    texts = fields.select("doc_id", "f_ord", F.explode(t).alias("t")).select("doc_id", F.struct("f_ord", "t.kind").alias("t_id"), "t.text").where(missing(F.col("text")).isNotNull())
-    groups = segment_groups(segments)
-    listed = shortlist(texts, groups)
-    scored = listed.withColumn("score", match_score(F.col("t_norm"), F.col("g_norm"), F.col("t_tokens"), F.col("g_tokens")))
-    cover = (F.col("n") > 1) & (F.size(F.array_intersect("t_tokens", "g_tokens")) / F.greatest(F.size("t_tokens"), F.lit(1)) >= 0.8)
-    rows = scored.select("doc_id", F.col("t_id.f_ord").alias("f_ord"), F.col("t_id.kind").alias("kind"), "exact", "place", "g_ord", "members", "score", cover.alias("cover"))
-
-    def take(found: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        found = found.sort_values(["f_ord", "kind", "exact", "place"], ascending=[True, True, False, True])
-        for f_ord, mine in found.groupby("f_ord", sort=True):
-            best = (0.0, None)
-            for kinds in ((0,), (0, 1, 2)):
-                best = (0.0, None)
-                for r in mine[mine["kind"].isin(kinds)].itertuples():
-                    score = r.score * 0.94 ** sum(m in used for m in r.members)
-                    score = min(1.0, score + 0.04) if r.cover else score
-                    if score > best[0]:
-                        best = (score, r)
-                if best[0] >= ACCEPT_EVIDENCE:
-                    break
-            if best[1] is not None and best[0] >= ACCEPT:
-                used.update(best[1].members)
-                out.append((best[1].doc_id, f_ord, round(best[0], 4), list(best[1].members)))
-        return pd.DataFrame(out, columns=["doc_id", "f_ord", "score", "segment_ids"])
-
-    doc_type = fields.schema["doc_id"].dataType.simpleString()
-    ord_type = fields.schema["f_ord"].dataType.simpleString()
-    taken = rows.groupBy("doc_id").applyInPandas(take, f"doc_id {doc_type}, f_ord {ord_type}, score double, segment_ids array<string>")
-    parts = taken.select("doc_id", "f_ord", F.posexplode("segment_ids").alias("pos", "seg_id")).join(segments.select("doc_id", "seg_id", "page", "text", "x", "y", "width", "height"), ["doc_id", "seg_id"])
-    boxes = parts.groupBy("doc_id", "f_ord").agg(F.min_by("page", "pos").alias("page"), *union_box(), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "\n").alias("box_text"))
-    out = fields.join(taken, ["doc_id", "f_ord"], "left").join(boxes, ["doc_id", "f_ord"], "left")
+    doc, ord_ = (fields.schema[c].dataType.simpleString() for c in ("doc_id", "f_ord"))
+    box = "score double, segment_ids array<string>, page int, x double, y double, width double, height double, box_text string"
+    lines = segments.select("doc_id", "seg_id", "ord", "page", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
+    asked = fields.select("doc_id", "f_ord", "evidence", "value", "norm").where(F.coalesce("evidence", "value", "norm").isNotNull())
+    boxes = asked.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(document_boxes, f"doc_id {doc}, f_ord {ord_}, {box}")
+    out = fields.join(boxes, ["doc_id", "f_ord"], "left")
     return out.withColumn("box_id", F.when(F.col("score").isNotNull(), F.concat(F.lit("box-field-"), "field_key")))
 
 

@@ -59,7 +59,7 @@ SQL["q_matching_type"] = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus =
 _NUMBER = "o_orderkey || '/' || CASE o_orderstatus WHEN 'O' THEN 'TTr' WHEN 'F' THEN 'QĐ' ELSE 'BL' END || '-BQLDA'"
 SQL["q_doc_number"] = f"SELECT o_orderkey AS doc_id, {_NUMBER} AS document_number FROM orders"
 SQL["q_doc_number_canon"] = "SELECT o_orderkey AS doc_id, o_orderkey || '/QĐ-BQLDA' AS number FROM orders"
-SQL["q_signed_date"] = "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS iso, 0.94 AS confidence FROM orders"
+SQL["q_signed_date"] = "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS iso, 0.94::DOUBLE AS confidence FROM orders"
 SQL["q_latest_date"] = "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders"
 SQL["q_submitted_value"] = f"SELECT o_orderkey AS doc_id, {_NUMBER} AS document_number, strftime(o_orderdate, '%Y-%m-%d') AS iso, floor(o_totalprice)::BIGINT AS submitted_value FROM orders WHERE o_orderstatus = 'O'"
 SQL["q_approved_total"] = "SELECT o_orderkey AS doc_id, floor(o_totalprice)::BIGINT AS approved_value FROM orders WHERE o_orderstatus = 'F'"
@@ -74,11 +74,11 @@ SQL["q_contract_wide"] = (
     "SELECT l_orderkey AS doc_id, l_orderkey || '/HĐ-TV' AS contract_number, strftime(min(l_shipdate), '%Y-%m-%d') AS signed_date, count(*) * 30 AS days, round(max(l_tax) * 100)::BIGINT AS vat, sum(floor(l_extendedprice)::BIGINT)::BIGINT AS contract_value, "
     f"'Công ty số hiệu ' || min(l_suppkey) AS contractor_name, (sum(floor(l_extendedprice)::BIGINT) + 1000000)::BIGINT AS guarantee, 'Nhà thầu tư vấn' AS contractor_group {_C}"
 )
-_RULE_FIELDS = """(SELECT o_orderkey AS doc_id, 'document_number' AS field_key, o_orderkey::VARCHAR AS value, 0.86 AS confidence FROM orders
-  UNION ALL SELECT o_orderkey, 'issuer', 'BAN', 0.82 FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'title', 'TT', 0.84 FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey, 'signed_or_effective_date', strftime(o_orderdate, '%d/%m/%Y'), 0.94 FROM orders WHERE o_orderkey % 5 <> 0)"""
+_RULE_FIELDS = """(SELECT o_orderkey AS doc_id, 'document_number' AS field_key, o_orderkey::VARCHAR AS value, 0.86::DOUBLE AS confidence FROM orders
+  UNION ALL SELECT o_orderkey, 'issuer', 'BAN', 0.82::DOUBLE FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'title', 'TT', 0.84::DOUBLE FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'signed_or_effective_date', strftime(o_orderdate, '%d/%m/%Y'), 0.94::DOUBLE FROM orders WHERE o_orderkey % 5 <> 0)"""
 _PAYLOAD = """(SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 2 THEN 'issuer' ELSE 'document_number' END AS field_key,
-  CASE WHEN o_orderkey % 4 = 2 THEN 'Số: ' || o_orderkey ELSE o_orderkey::VARCHAR END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0.75 END AS confidence FROM orders WHERE o_orderkey % 4 <> 1)"""
+  CASE WHEN o_orderkey % 4 = 2 THEN 'Số: ' || o_orderkey ELSE o_orderkey::VARCHAR END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence FROM orders WHERE o_orderkey % 4 <> 1)"""
 SQL["q_field_merge"] = f"""
 SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.field_key, p.field_key) AS field_key,
   CASE WHEN r.doc_id IS NULL OR p.confidence >= r.confidence - 0.15 THEN p.value ELSE r.value END AS value,
@@ -89,7 +89,7 @@ SQL["q_guardrails"] = f"""
 SELECT doc_id, field_key, value, 'rule' AS source FROM {_RULE_FIELDS} WHERE field_key IN ('issuer', 'signed_or_effective_date', 'title') OR (field_key = 'document_number' AND doc_id % 11 <> 0)"""
 SQL["q_role_routing"] = """
 SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN 'submitted_value' ELSE 'approved_value' END AS field_key,
-  CASE WHEN (o_orderstatus = 'O') = (o_orderkey % 2 = 1) THEN 0.9 ELSE 0.84 END AS confidence FROM orders WHERE o_orderstatus IN ('O', 'F')"""
+  CASE WHEN (o_orderstatus = 'O') = (o_orderkey % 2 = 1) THEN 0.9 ELSE 0.84 END::DOUBLE AS confidence FROM orders WHERE o_orderstatus IN ('O', 'F')"""
 _CONF = "round((0.86 + CASE WHEN o_orderkey % 5 <> 0 THEN 0.94 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 0.82 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 0.84 ELSE 0 END)::DOUBLE / 4, 4)"
 SQL["q_confidence"] = f"SELECT o_orderkey AS doc_id, {_CONF} AS local_confidence FROM orders"
 SQL["q_needs_review"] = f"SELECT o_orderkey AS doc_id, {_CONF} < 0.68 AS needs_review FROM orders"
