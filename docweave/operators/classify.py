@@ -40,7 +40,8 @@ def with_lines(docs: DataFrame, text: str = "clean_text", limit: int = 300) -> D
     """The rows with body, lines and norm; at most ``limit`` lines, more than any rule looks at."""
     df = once(docs, body=F.coalesce(F.col(text), F.lit("")))
     df = once(df, lines=F.transform(lines_of(F.col("body"), limit), lambda s: F.struct(s.alias("t"), normalize_rules(s).alias("n"))))
-    return once(df, norm=normalize_rules(F.col("body")), sample=normalize_rules(F.substring("body", 1, 5000)), context=context_of(F.col("lines")))
+    df = once(df, norm=normalize_rules(F.col("body")))
+    return once(df, sample=F.when(F.length("body") <= 5000, F.col("norm")).otherwise(normalize_rules(F.substring("body", 1, 5000))), context=context_of(F.col("lines")))
 
 
 def head(n: int) -> Column:

@@ -36,14 +36,14 @@ def _edge_free(norm: Column) -> Column:
     return strip_edges(norm)
 
 
-def is_stamp_header(line: Column) -> Column:
-    """C8."""
-    return let(_edge_free(normalize_rules(line)), lambda n: (F.length(n) <= 70) & (n.isin(STAMP_HEADERS) | starts_with(n, ("cong van den ", "van ban den ", "ho so den "))))
+def is_stamp_header(line: Column, norm: Column | None = None) -> Column:
+    """C8; norm is the line's normal form, where it is known."""
+    return let(_edge_free(normalize_rules(line) if norm is None else norm), lambda n: (F.length(n) <= 70) & (n.isin(STAMP_HEADERS) | starts_with(n, ("cong van den ", "van ban den ", "ho so den "))))
 
 
-def is_stamp_number(line: Column) -> Column:
+def is_stamp_number(line: Column, norm: Column | None = None) -> Column:
     """C9."""
-    return line.rlike(r"(?iu)^(?:so|số)\s*[:.]?\s*\d{1,6}$") | normalize_rules(line).rlike(r"^(?:so|so den|den so)\s*[:.]?\s*\d{1,6}$")
+    return line.rlike(r"(?iu)^(?:so|số)\s*[:.]?\s*\d{1,6}$") | (normalize_rules(line) if norm is None else norm).rlike(r"^(?:so|so den|den so)\s*[:.]?\s*\d{1,6}$")
 
 
 def stamp_date_tail(line: Column) -> Column:
@@ -61,9 +61,9 @@ def without_inline_stamp(line: Column) -> Column:
     return collapse(F.regexp_replace(out, r"(?iuU)\bS[ỐO]\s*[:.]?\s*\d{1,6}\b", " "))
 
 
-def is_tax_or_round_seal(line: Column) -> Column:
+def is_tax_or_round_seal(line: Column, norm: Column | None = None) -> Column:
     """Company numbers around a round seal."""
-    compact = F.regexp_replace(normalize_rules(line), "[^a-z0-9]", "")
+    compact = F.regexp_replace(normalize_rules(line) if norm is None else norm, "[^a-z0-9]", "")
     return compact.rlike(r"cttnhh|msdn|sdn.*\d{6,}|\d{6,}.*sdn") | line.rlike(r"(?iuU)\b[wm.]?s\.?d\.?n\b\s*[:.]?\s*\d")
 
 
@@ -89,20 +89,21 @@ def is_bank_seal(line: Column) -> Column:
     return (F.length(line) <= 70) & words & ((uppercase_ratio(line) >= 0.65) | line.rlike(r"^[*=•\d\s.-]+"))
 
 
-def noise_reason(line: Column, index: Column) -> Column:
+def noise_reason(line: Column, index: Column, norm: Column | None = None) -> Column:
     """Why a whole line is noise, or null; index counts raw lines from 0."""
-    return let(_edge_free(normalize_rules(line)), lambda n: _noise_reason(line, n, index))
+    norm = normalize_rules(line) if norm is None else norm
+    return let(_edge_free(norm), lambda n: _noise_reason(line, norm, n, index))
 
 
-def _noise_reason(line: Column, n: Column, index: Column) -> Column:
+def _noise_reason(line: Column, norm: Column, n: Column, index: Column) -> Column:
     return (
         F.when(n == "", "blank_or_symbol")
         .when(n.rlike(r"^\d{1,3}$") & (index > 6), "page_number")
-        .when(is_tax_or_round_seal(line), "round_seal_artifact")
+        .when(is_tax_or_round_seal(line, norm), "round_seal_artifact")
         .when(n.isin("q ba dinh", "tp ha noi") & (index > 8), "round_seal_artifact")
         .when(n.isin(SHORT_FRAGMENTS + GOVERNMENT_FRAGMENTS) & (index > 8), "round_seal_fragment")
-        .when(is_bank_seal(line) & (index > 28), "round_seal_fragment")
-        .when(is_garbage(line) & (index > 8), "ocr_garbage")
+        .when((index > 28) & is_bank_seal(line), "round_seal_fragment")
+        .when((index > 8) & (F.length(line) <= 12) & is_garbage(line), "ocr_garbage")
     )
 
 
@@ -124,8 +125,11 @@ def clean_documents(docs: DataFrame, text: str = "text", compose: bool = True) -
     """
     df = once(docs, __raw=F.transform(raw_lines(repair_characters(F.coalesce(F.col(text), F.lit("")), compose)), lambda s, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(s, r"[ \t]+", " ")).alias("s"))))
     shown = F.filter("__raw", lambda x: collapse(x["s"]) != "")
-    df = once(df, __a=F.transform(shown, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), is_stamp_header(x["s"]).alias("h"), F.when(is_stamp_header(x["s"]), without_inline_stamp(x["s"])).otherwise(x["s"]).alias("l"))))
-    df = once(df, __b=F.transform("__a", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["h"].alias("h"), x["l"].alias("l"), (is_stamp_header(x["l"]) & (x["l"] != "")).alias("h2"), is_stamp_number(x["l"]).alias("n"), stamp_date_tail(x["l"]).alias("d"))))
+    df = once(df, __n=F.transform(shown, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), normalize_rules(x["s"]).alias("n"))))
+    df = once(df, __g=F.transform("__n", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["n"].alias("n"), is_stamp_header(x["s"], x["n"]).alias("h"))))
+    df = once(df, __a=F.transform("__g", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["n"].alias("n"), x["h"].alias("h"), F.when(x["h"], without_inline_stamp(x["s"])).otherwise(x["s"]).alias("l"))))
+    # a line keeps its normal form unless a stamp's words were cut from it
+    df = once(df, __b=F.transform("__a", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["n"].alias("norm"), x["h"].alias("h"), x["l"].alias("l"), (x["h"] & (x["l"] != "") & is_stamp_header(x["l"])).alias("h2"), F.when(x["h"], is_stamp_number(x["l"])).otherwise(is_stamp_number(x["s"], x["n"])).alias("n"), stamp_date_tail(x["l"]).alias("d"))))
     df = once(df, __h=F.array_min(F.transform(F.filter("__b", lambda x: x["h"]), lambda x: x["i"])))
     dated = F.filter("__b", lambda x: (x["i"] >= F.col("__h")) & (x["l"] != "") & ~x["h2"] & ~x["n"] & x["d"].isNotNull())
     df = once(df, __d=F.array_min(F.transform(dated, lambda x: x["i"])))
@@ -138,10 +142,10 @@ def clean_documents(docs: DataFrame, text: str = "text", compose: bool = True) -
 
     def now(x: Column) -> Column:
         gone = F.when(x["l"] == "", "").when(x["h2"], "incoming_stamp_header").when(below(x) & x["n"], "incoming_stamp_number").when(is_date(x) & (x["d"] == ""), "incoming_stamp_date")
-        return F.struct(x["i"].alias("i"), x["s"].alias("s"), x["h"].alias("h"), x["l"].alias("l"), gone.alias("gone"), is_date(x).alias("dated"), F.when(is_date(x), x["d"]).otherwise(x["l"]).alias("m"))
+        return F.struct(x["i"].alias("i"), x["s"].alias("s"), x["norm"].alias("norm"), x["h"].alias("h"), x["l"].alias("l"), gone.alias("gone"), is_date(x).alias("dated"), F.when(is_date(x), x["d"]).otherwise(x["l"]).alias("m"))
 
     df = once(df, __c=F.transform("__b", now))
-    df = once(df, __e=F.transform("__c", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["h"].alias("h"), x["l"].alias("l"), x["dated"].alias("dated"), x["m"].alias("m"), F.coalesce(x["gone"], noise_reason(x["m"], x["i"])).alias("gone"), strip_suffixes(x["m"]).alias("out"))))
+    df = once(df, __e=F.transform("__c", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["h"].alias("h"), x["l"].alias("l"), x["dated"].alias("dated"), x["m"].alias("m"), F.coalesce(x["gone"], F.when(x["h"] | x["dated"], noise_reason(x["m"], x["i"])).otherwise(noise_reason(x["m"], x["i"], x["norm"]))).alias("gone"), strip_suffixes(x["m"]).alias("out"))))
     item = lambda x, kind, reason, old, new: F.struct(x["i"].alias("index"), F.lit(kind).alias("kind"), reason.alias("reason"), collapse(old).alias("text"), new.alias("cleaned"))
     none = F.lit(None).cast("string")
 
@@ -160,7 +164,7 @@ def clean_documents(docs: DataFrame, text: str = "text", compose: bool = True) -
 
     out = F.filter("__e", lambda x: x["gone"].isNull() & (x["out"] != ""))
     df = df.withColumn("clean_text", F.array_join(F.transform(out, lambda x: x["out"]), "\n")).withColumn("cleaning", F.flatten(F.transform("__e", items)))
-    return df.drop("__raw", "__a", "__b", "__c", "__d", "__e", "__h")
+    return df.drop("__raw", "__n", "__g", "__a", "__b", "__c", "__d", "__e", "__h")
 
 
 def cleaning_report(cleaned: DataFrame) -> DataFrame:

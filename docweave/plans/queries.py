@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import classify as C
 from docweave.operators import cleaning, extract, jsonops, layout, matching, merge, metrics
-from docweave.plans.render import contracts_as_documents, customers_as_segments, orders_as_documents, table
+from docweave.plans.render import contracts_as_documents, customers_as_segments, orders_as_documents, spread, table
 from docweave.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
-    return orders_as_documents(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+    return orders_as_documents(spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +35,7 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = contracts_as_documents(table(spark, sf, "lineitem"))
+    docs = spread(contracts_as_documents(table(spark, sf, "lineitem")))
     return C.with_lines(docs, "text")
 
 
@@ -234,7 +234,7 @@ def q_guarantee_date(spark, sf):
 
 @query
 def q_contract_wide(spark, sf):
-    docs = contracts_as_documents(table(spark, sf, "lineitem"))
+    docs = spread(contracts_as_documents(table(spark, sf, "lineitem")))
     df = extract.contract_fields(docs, "text")
     return df.select(
         "doc_id", F.col("contract_number.value").alias("contract_number"), F.col("signed_date.norm").alias("signed_date"), F.col("execution_duration_days.amount").cast("long").alias("days"), F.col("contract_vat_percent.amount").cast("long").alias("vat"),
