@@ -47,6 +47,9 @@ def orders_as_documents(orders: DataFrame, decoys: bool = True) -> DataFrame:
 
 def contracts_as_documents(lineitem: DataFrame) -> DataFrame:
     """doc_id, text: a contract per order's lines; days, value, tax and dates are aggregates of them."""
+    # dealt by order once, for the sums and for the costly work on texts behind them
+    spark = lineitem.sparkSession
+    lineitem = lineitem.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
     total = F.sum(F.floor("l_extendedprice").cast("long"))
     rows = lineitem.groupBy("l_orderkey").agg(total.alias("total"), F.round(F.max("l_tax") * 100).cast("int").alias("vat"), F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("signed"), F.max("l_shipdate").alias("until"), F.min("l_suppkey").alias("supplier"))
     key = F.col("l_orderkey").cast("string")
