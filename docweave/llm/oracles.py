@@ -42,3 +42,47 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
 FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id
 """
+
+_LISTS = {
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine", "en": "the of and to in a is that for it as was with be by on not are",
+    "es": "de la que el en y a los del se las por un para con no una su", "fr": "de la le et les des en un du une que est pour qui dans par pas au",
+}
+_LIST = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v.split())}]" for k, v in _LISTS.items()) + " END"
+
+
+def _jsd(p: str, q: str, n: int) -> str:
+    """Divergence of two lists of counts, base 2; null where either sums to nothing."""
+    share = lambda a, i: f"({a}[{i}]::DOUBLE / list_sum({a}))"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    terms = " + ".join(f"({part(share(p, i), share(q, i))} + {part(share(q, i), share(p, i))}) / 2" for i in range(1, n + 1))
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN {terms} END"
+
+
+def _reference(source: str) -> str:
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])::BIGINT" for i in range(1, n + 1)) + "]"
+    return f"SELECT lang, {sums('classes', 6)} AS rc, {sums('common', 19)} AS rw FROM {source} WHERE NOT base_failed GROUP BY lang"
+
+
+SQL["op2_quality_rules"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda s: s <> '') AS w FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t))),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY r),
+f AS (SELECT t.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(n_repeat, 0) AS n_repeat_words, length(x) AS c, length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) AS c1, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) AS c2, length(x) - length(regexp_replace(x, '[0-9]', '', 'g')) AS c3,
+  length(x) - length(regexp_replace(x, '[.,;:!?''"()\-]', '', 'g')) AS c4, list_transform({_LIST}, lambda k: len(list_filter(w, lambda s: s = k))) AS hits FROM t LEFT JOIN rep ON t.r = rep.r),
+g AS (SELECT *, [c1, c2 - c1, c3, c4, c - word_chars, c - c2 - c3 - c4 - (c - word_chars)] AS classes, list_append(hits, n_words - list_sum(hits)::BIGINT) AS common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+r1 AS ({_reference('g')}), j1 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r1 ON g.lang IS NOT DISTINCT FROM r1.lang),
+r2 AS ({_reference('(SELECT * FROM j1 WHERE cj <= 0.03 AND coalesce(wj, 0) <= 0.08)')}), j2 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r2 ON g.lang IS NOT DISTINCT FROM r2.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((c >= 200 AND cj > 0.03 + 2.5 / greatest(n_words, 1)) OR (n_words >= 100 AND wj > 0.08), false) AS kept FROM j2
+"""
+
+SQL["op6_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r AS a, r AS b, vec_id AS id FROM v UNION SELECT reach.a, l.b, l.id FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(id) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON v.r = c.a LEFT JOIN n ON v.r = n.a
+"""
