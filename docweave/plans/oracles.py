@@ -150,3 +150,26 @@ SQL["q_fallback_rate"] = """
 SELECT event_id, count(*) OVER w AS n, coalesce(sum((event_type = 'error')::INT) OVER w, 0)::BIGINT AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
 SQL["q_latest_revision"] = "SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS revision, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'enriching' END AS status FROM orders"
 SQL["q_stream_window"] = "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS hour, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS failed FROM events GROUP BY hour"
+SQL["q_media_type"] = """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'image/png' END AS media_type FROM orders WHERE o_orderkey % 4 <> 3"""
+SQL["q_page_parts"] = "SELECT doc_id, p AS part, p * 14 AS first, least(14, pages - p * 14) AS pages FROM (SELECT o_orderkey AS doc_id, o_orderkey % 40 AS pages, unnest(range(0, (o_orderkey % 40 + 13) // 14)) AS p FROM orders)"
+SQL["q_flat_output"] = """
+SELECT o_orderkey AS doc_id, o_orderkey::VARCHAR AS document_number, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS signed_or_effective_date,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'BAN' END AS issuer, CASE WHEN o_orderkey % 3 = 0 THEN 'TT' END AS title FROM orders"""
+SQL["q_requested_fields"] = """
+SELECT o_orderkey AS doc_id, CASE WHEN m = '' THEN 'document_number,signed_or_effective_date,issuer,title' ELSE m END AS requested FROM
+  (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'signed_or_effective_date' END, CASE WHEN o_orderkey % 2 = 1 THEN 'issuer' END, CASE WHEN o_orderkey % 3 <> 0 THEN 'title' END) AS m FROM orders)"""
+SQL["q_candidates"] = """
+SELECT o_orderkey AS doc_id, 'approved_value' AS field_key, floor(o_totalprice)::BIGINT::VARCHAR AS norm FROM orders UNION ALL SELECT o_orderkey, 'contract_vat_percent', (o_orderkey % 30)::VARCHAR || '.5' FROM orders
+UNION ALL SELECT o_orderkey, 'execution_duration_days', (o_orderkey % 900 + 1)::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'signed_date', strftime(o_orderdate, '%Y-%m-%d') FROM orders"""
+SQL["q_match_status"] = """
+WITH k AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS p, o_orderkey % 3 = 1 AND o_orderkey % 4 = 0 AS pl, o_orderkey % 5 < 2 AS t FROM orders)
+SELECT doc_id, CASE WHEN NOT p AND NOT pl THEN 'not_matched' WHEN p AND t THEN 'matched' WHEN p THEN 'project_matched_task_not_matched' WHEN t THEN 'project_matched_by_llm_task_matched' ELSE 'project_matched_by_llm_task_not_matched' END AS status,
+  NOT ((p OR pl) AND t) AS needs_review FROM k"""
+SQL["q_overlay"] = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS a, 'kept' AS b, o_orderpriority AS c FROM orders"
+SQL["q_generic_fields"] = """
+SELECT o_orderkey AS doc_id, 'ngày ' || strftime(o_orderdate, '%d') || ' tháng ' || strftime(o_orderdate, '%m') || ' năm ' || strftime(o_orderdate, '%Y') || CASE WHEN o_orderkey % 4 = 0 THEN '|ngày 26 tháng 11 năm 2030' ELSE '' END AS dates,
+  concat_ws('|', CASE WHEN o_orderkey % 7 = 0 THEN '1.000 đồng' END, CASE WHEN o_totalprice >= 1000 THEN replace(format('{:,}', floor(o_totalprice)::BIGINT), ',', '.') || ' đồng' END) AS amounts, 'Khu nhà số ' || o_custkey AS projects FROM orders WHERE o_orderstatus <> 'P'"""
+SQL["q_nullable_dates"] = """
+SELECT o_orderkey AS doc_id, lpad((o_orderkey % 31 + 1)::VARCHAR, 2, '0') || '/' || lpad((o_orderkey % 13 + 1)::VARCHAR, 2, '0') || '/2024' AS shown,
+  try_cast('2024-' || lpad((o_orderkey % 13 + 1)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 31 + 1)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS exists FROM orders"""

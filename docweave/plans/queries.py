@@ -504,3 +504,91 @@ def q_stream_window(spark, sf):
     e = table(spark, sf, "events").select("ts", (F.col("event_type") == F.lit("error")).alias("fallback"))
     out = jobs.windowed_rate(e, "6 hours", "6 hours")
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", "failed")
+
+
+# further operators
+
+
+@query
+def q_best_query(spark, sf):
+    """F8: for every pair of a few part names and candidates, the query that wins the walk."""
+    ask = asked(spark, sf)
+    more = ask.unionByName(ask.select("doc_id", F.lit(1).alias("q_ord"), F.concat(F.col("query"), F.lit(" extra words of no use")).alias("query")))
+    return matching.rank(more, catalogue(spark, sf), top=2, use_tfidf=False).select("doc_id", "rank", "matched_query")
+
+
+@query
+def q_media_type(spark, sf):
+    from docweave.sources.files import accept_uploads
+
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("in/d"), k.cast("string"), F.when(k % 4 == 0, ".pdf").when(k % 4 == 1, ".DOCX").when(k % 4 == 2, ".png").otherwise(".xyz"))
+    return accept_uploads(table(spark, sf, "orders").select(k.alias("doc_id"), path.alias("path"))).select("doc_id", "media_type")
+
+
+@query
+def q_page_parts(spark, sf):
+    pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_orderkey") % 40).cast("int").alias("pages"))
+    return layout.parts_of(pages).select(F.col("file").alias("doc_id"), F.col("part").cast("long").alias("part"), F.col("offset").cast("long").alias("first"), F.col("pages").cast("long").alias("pages"))
+
+
+@query
+def q_flat_output(spark, sf):
+    """K4: a row per document, a column per field."""
+    from docweave.sources.sinks import wide_output
+
+    return wide_output(rule_fields(spark, sf), ["document_number", "signed_or_effective_date", "issuer", "title"])
+
+
+@query
+def q_requested_fields(spark, sf):
+    out = merge.fields_to_request(rule_fields(spark, sf), ["document_number", "signed_or_effective_date", "issuer", "title"])
+    return out.select("doc_id", F.array_join("requested", ",").alias("requested"))
+
+
+@query
+def q_candidates(spark, sf):
+    """M2: values of a payload in normal form."""
+    o = table(spark, sf, "orders")
+    rows = F.array(
+        F.struct(F.lit("approved_value").alias("field_key"), F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(" đồng")).alias("value")), F.struct(F.lit("contract_vat_percent").alias("field_key"), F.concat(F.lit("VAT "), F.col("o_orderkey") % 30, F.lit(",5 %")).alias("value")),
+        F.struct(F.lit("execution_duration_days").alias("field_key"), F.concat(F.col("o_orderkey") % 900 + 1, F.lit(" ngày")).alias("value")), F.struct(F.lit("signed_date").alias("field_key"), F.date_format("o_orderdate", "d/M/yy").alias("value")),
+    )
+    long = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(rows).alias("f")).select("doc_id", "f.*")
+    given = long.withColumns({"norm": F.lit(None).cast("string"), "amount": F.lit(None).cast("double"), "evidence": F.lit(None).cast("string"), "confidence": F.lit(0.5), "source": F.lit("llm")})
+    return merge.normalize_candidates(given).select("doc_id", "field_key", "norm")
+
+
+@query
+def q_match_status(spark, sf):
+    """the status of documents from scores and picks made of their keys."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    k = F.col("doc_id")
+    best = lambda score: o.select("doc_id", F.lit("x").alias("cand_id"), score.alias("score"), F.lit(1).alias("rank"))
+    picks = o.where(k % 2 == 0).select("doc_id", F.lit("y").alias("id"), F.when(k % 4 == 0, 0.7).otherwise(0.5).alias("confidence"))
+    out = matching.match_status(o, best(F.when(k % 3 == 0, 0.9).when(k % 3 == 1, 0.7).otherwise(0.2)), best(F.when(k % 5 < 2, 0.6).otherwise(0.3)), picks)
+    return out.select("doc_id", "status", "needs_review")
+
+
+@query
+def q_overlay(spark, sf):
+    """M6: a map with another's non-empty entries over it."""
+    o = table(spark, sf, "orders")
+    base = F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.lit("kept"))
+    given = F.create_map(F.lit("a"), F.when(F.col("o_orderkey") % 2 == 0, "new").otherwise(""), F.lit("c"), F.col("o_orderpriority"))
+    m = merge.overlay(base, given)
+    return o.select(F.col("o_orderkey").alias("doc_id"), m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
+
+
+@query
+def q_generic_fields(spark, sf):
+    """E26 on rendered proposals and decisions."""
+    df = T.once(prepared(spark, sf).where(F.col("kind") != "P"), g=extract.generic_fields())
+    return df.select("doc_id", F.array_join("g.dates", "|").alias("dates"), F.array_join("g.monetary_amounts", "|").alias("amounts"), F.array_join("g.project_name_candidates", "|").alias("projects"))
+
+
+@query
+def q_nullable_dates(spark, sf):
+    """The same day as text and as a date, null where the calendar has no such day."""
+    iso = F.concat_ws("-", F.lit("2024"), F.lpad((F.col("o_orderkey") % 13 + 1).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 31 + 1).cast("string"), 2, "0"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), T.display_date(iso).alias("shown"), T.calendar_date(iso).isNotNull().alias("exists"))

@@ -241,7 +241,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     columns = sorted(got.columns)
     rows = sorted(str([_plain(r[c]) for c in columns]) for r in got.collect())
     if name not in SQL:
-        assert name in {"q_hybrid_rank", "q_box_greedy", "q_breaker"} and rows
+        assert name in {"q_hybrid_rank", "q_box_greedy", "q_breaker", "q_best_query"} and rows
         return
     want = duck.sql(SQL[name])
     assert sorted(want.columns) == columns
