@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import table
+from docweave.llm.common import spread_table, table
 
 #: Where the vocabulary files of public tokenizers are; a parameter, nothing is copied.
 TOKENIZERS = os.environ.get("DOCWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -22,7 +22,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids: doc_id, ids, n_tokens, n_byte_ids, parity, round_trip."""
     from docweave.llm.sentencepiece_codec import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
+    return encode_documents(spread_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
 
 
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of all documents."""
     from docweave.llm.line_crf import THRESHOLD, held_out, score, train
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -91,7 +91,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of all pages."""
     from docweave.llm.html_extract import extract
 
-    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(spread_table(spark, sf_dir, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of all documents."""
     from docweave.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(spread_table(spark, sf_dir, "documents")).drop("digest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
