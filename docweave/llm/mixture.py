@@ -32,6 +32,8 @@ from docweave.llm.common import WORD_PATTERN, materialize
 #: Words of a block, slots of an output shard, rounds of the shuffle.
 BLOCK, SHARD_SLOTS, ROUNDS = 64, 4096, 24
 GRID = 1024
+#: Slots that a task numbers and maps to blocks.
+SLOTS_PER_TASK = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,9 +68,9 @@ def permuted(k: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k, swap)
 
 
-def lay_out(docs: DataFrame, doc_id: str, text: str, source: str, carry: list[str]) -> DataFrame:
-    """Rows with row keys, size and, within the source, the number of words before them."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("digest"), *[F.col(f"`{c}`") for c in carry])
+def lay_out(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """A row per document, without its text: row keys, size and, within the source, the number of words before it."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("digest"))
     n = docs.count()
     chunks = 1 << min(18, max(4, math.ceil(math.log2(max(n, 2)) / 2)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)))
@@ -78,7 +80,7 @@ def lay_out(docs: DataFrame, doc_id: str, text: str, source: str, carry: list[st
     per_chunk = rows.groupBy(*key).agg(F.sum("size").alias("chunk_size"))
     by_chunk = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = per_chunk.select(F.col("source").alias("s2"), F.col("chunk").alias("c2"), F.coalesce(F.sum("chunk_size").over(by_chunk), F.lit(0)).alias("base"))
-    return rows.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))).withColumn("offset", F.col("base") + F.col("inside")).drop("s2", "c2", "base", "inside", "digest")
+    return rows.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))).withColumn("offset", F.col("base") + F.col("inside")).drop("s2", "c2", "base", "inside")
 
 
 def draw_slots(plan: DataFrame, slots: int, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -101,15 +103,15 @@ def draw_slots(plan: DataFrame, slots: int, seed: int, shard_slots: int = SHARD_
     return sure.unionByName(drawn.select("shard", "n", F.lit(1).cast("long").alias("count"))).groupBy("shard", "n").agg(F.sum("count").alias("count"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, epochs: int = 3, seed: int = 9, shard_slots: int = SHARD_SLOTS, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, epochs: int = 3, seed: int = 9, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of the mix.
 
-    rows: doc_id, source, chunk, rn (which together name the row), size,
-    source_size, target and the carried columns.  spans: source, chunk, rn,
+    rows: doc_id, source, digest (of the text), n, chunk, rn (the source's number,
+    which with chunk and rn names the row), size, source_size, target.  spans: n, chunk, rn,
     shard, epoch, block, start, stop: the words [start, stop) of the row that a
     slot takes.  A text without words gets no span; an empty table gives empty tables.
     """
-    rows = materialize(lay_out(docs, doc_id, text, source, carry or []), "mix-rows")
+    rows = materialize(lay_out(docs, doc_id, text, source), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, epochs)
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -125,7 +127,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     counts = draw_slots(shares, slots, seed, shard_slots)
     so_far = Window.partitionBy("n").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("count").over(so_far), F.lit(0)))
-    numbered = counts.where("count > 0").select("shard", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("k")).join(plan.select("n", "blocks"), "n")
+    # a row here stands for up to a shard of slots: they are dealt before they are written out
+    counts = counts.where("count > 0").repartition(min(20_000, math.ceil(slots / SLOTS_PER_TASK)), "shard", "n")
+    numbered = counts.select("shard", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("k")).join(plan.select("n", "blocks"), "n")
     numbered = numbered.withColumn("epoch", F.floor(F.col("k") / F.col("blocks")).cast("long")).where(F.col("epoch") < epochs)  # a slot beyond the last epoch stays empty
     taken = numbered.select("shard", "n", "epoch", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "n", "epoch")).alias("block"))
     pieces = named.where("size > 0").select("n", "chunk", "rn", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
@@ -140,17 +144,25 @@ def taken_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(took, key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
-def mixed_rows(rows: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document and epoch with what the epoch takes of it: the carried text cut to those words.
+def mixed_rows(docs: DataFrame, rows: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents' columns, once per document and epoch, the text cut to what the epoch takes of it.
 
     Words that were neighbours in the text stay so with the white space between
-    them; a document taken whole keeps its text as it is.
+    them; a document taken whole keeps its text as it is.  Texts move once, to
+    meet their spans by a digest of id, source and text.
     """
     key = ["n", "chunk", "rn"]
-    took = spans.groupBy(*key, "epoch").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    joined = rows.join(took, key)
+    took = spans.groupBy(*key, "epoch").agg(F.sum(F.col("stop") - F.col("start")).alias("__taken"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    row_key = lambda i, s, d: (F.xxhash64(i, s).alias("__a"), d.alias("__b"))
+    took = rows.join(took, key).select(*row_key(F.col("doc_id"), F.col("source"), F.col("digest")), F.col("size").alias("__size"), "__taken", "__spans")
+    keyed = docs.select("*", *row_key(F.col(doc_id), F.col(source), F.xxhash64(F.col(text))))
+    if rows.groupBy("doc_id", "source", "digest").count().where("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["__a", "__b"])  # repeated rows have spans of their own, but one text
+    joined = keyed.join(took, ["__a", "__b"])
     tokens = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = joined.where(F.col("taken") < F.col("size")).withColumn("__words", F.explode(F.array(tokens)))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
-    cut = cut.withColumn(text, F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")).drop("__words")
-    return joined.where(F.col("taken") == F.col("size")).unionByName(cut)
+    part_taken = F.col("__taken") < F.col("__size")
+    # words are listed only where a part is taken, and once
+    joined = joined.withColumn("__words", F.explode(F.array(F.when(part_taken, tokens))))
+    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    cut = F.when(part_taken, F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")).otherwise(F.col(text))
+    return joined.withColumn(text, cut).select(*docs.columns)

@@ -176,12 +176,16 @@ def test_mix_comes_near_its_targets(spark):
 
 def test_mixed_rows_are_parts_of_their_texts(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}-{k}" for k in range(i * 17 % 300)), f"s{i % 3}", "en") for i in range(60)], "doc_id long, text string, source string, lang string")
-    rows, spans = mx.mix(docs, carry=["text", "lang"])
-    took = {(r.doc_id): r.taken for r in mx.taken_words(rows, spans).collect()}
-    out = mx.mixed_rows(rows, spans).select("doc_id", "text").collect()
+    rows, spans = mx.mix(docs)
+    docs = docs.unionByName(docs.where("doc_id = 7"))
+    rows, spans = mx.mix(docs)
+    out = mx.mixed_rows(docs, rows, spans).select("doc_id", "text").collect()
     whole = {r.doc_id: r.text.split() for r in docs.collect()}
     for r in out:
         assert set(r.text.split()) <= set(whole[r.doc_id]) and r.text
+    took: dict[int, int] = {}
+    for r in mx.taken_words(rows, spans).collect():
+        took[r.doc_id] = took.get(r.doc_id, 0) + r.taken
     for i, n in took.items():
         assert sum(len(r.text.split()) for r in out if r.doc_id == i) == n
 
