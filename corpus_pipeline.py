@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and epoch of the mix, with the words that the epoch takes of it."""
-    rows, spans = mixture.mix(docs, carry=["text", "lang"])
-    return mixture.mixed_rows(rows, spans).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    rows, spans = mixture.mix(docs)
+    return mixture.mixed_rows(docs, rows, spans).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
