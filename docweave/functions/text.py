@@ -198,13 +198,28 @@ def uppercase_ratio(c: Column) -> Column:
     return F.when(letters > 0, upper / letters).otherwise(F.lit(0.0))
 
 
-def flatten_text(variant_json: Column, keys=("text", "title", "name", "value", "label", "content", "description", "evidence")) -> Column:
-    """N18, one level deep: a JSON text, list or object as an array of texts, objects by their keys in order."""
-    as_list = F.from_json(variant_json, "array<string>")
-    as_map = F.from_json(variant_json, "map<string,string>")
-    from_map = F.filter(F.array(*[F.element_at(as_map, k) for k in keys]), lambda x: x.isNotNull())
-    plain = F.array(F.regexp_replace(variant_json, '^"|"$', ""))
-    return F.when(variant_json.rlike(r"^\s*\["), as_list).when(variant_json.rlike(r"^\s*\{"), from_map).otherwise(plain)
+#: The keys under which an object may hold its text, in order.
+TEXT_KEYS = ("name", "title", "value", "normalized_value", "keyword", "action", "text", "label")
+
+
+def flatten_text(value: Column, depth: int = 3, keys: tuple[str, ...] = TEXT_KEYS) -> Column:
+    """The texts in a JSON value, in order: of lists all items, of objects what their keys hold, down to ``depth``."""
+
+    def plain(j: Column) -> Column:
+        text = F.regexp_replace(j, '^"|"$', "")
+        return F.when(j.isNull() | text.isin("", "null"), F.array().cast("array<string>")).otherwise(F.array(text))
+
+    def texts(j: Column) -> Column:
+        below = (lambda x: flatten_text(x, depth - 1, keys)) if depth else plain
+        items = F.flatten(F.transform(F.filter(F.from_json(j, "array<string>"), lambda x: x.isNotNull()), below))
+        held = let(F.from_json(j, "map<string,string>"), lambda m: F.filter(F.array(*[F.get(F.filter(F.map_values(F.map_filter(m, _is_key(k0))), lambda v: v.isNotNull()), F.lit(0)) for k0 in keys]), lambda x: x.isNotNull()))
+        return F.when(j.rlike(r"^\s*\["), items).when(j.rlike(r"^\s*\{"), F.flatten(F.transform(held, below))).otherwise(plain(j))
+
+    return let(value, texts)
+
+
+def _is_key(want: str):
+    return lambda k, v: k == want
 
 
 def metric_name(c: Column) -> Column:

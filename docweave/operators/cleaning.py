@@ -181,6 +181,14 @@ def clean_chunks(chunks: DataFrame, doc_id: str = "doc_id", ord_: str = "chunk",
     return clean_documents(chunks, text, compose).where(F.trim("clean_text") != "").withColumn(text, F.trim("clean_text"))
 
 
+def clean_layouts(docs: DataFrame, segments: DataFrame, text: str = "text", compose: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C4: (documents with clean_text, the report and removed_segment_count; the segments kept)."""
+    judged = clean_segments(segments, compose)
+    gone = judged.where("reason is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("removed_segment_count"), F.slice(F.sort_array(F.collect_list(F.struct("page", "seg_id", "reason", "text"))), 1, MAX_REPORT_ITEMS).alias("removed_segments"))
+    report = cleaning_report(clean_documents(docs, text, compose)).join(gone, "doc_id", "left")
+    return report.withColumn("removed_segment_count", F.coalesce("removed_segment_count", F.lit(0))), judged.where("reason is null").withColumn("text", F.col("clean_text")).drop("reason", "clean_text")
+
+
 def segment_reason(text: Column, y: Column, stamped: Column) -> Column:
     """C6."""
     n = normalize_rules(text)

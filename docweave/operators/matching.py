@@ -230,11 +230,12 @@ def needs_tiebreak(score: Column, threshold: float, gap: float = LLM_GAP) -> Col
     return (score > 0) & (F.lit(threshold) - score > 0) & (F.lit(threshold) - score <= gap)
 
 
-def match_status(docs: DataFrame, projects: DataFrame, tasks: DataFrame, project_choice: DataFrame | None = None, task_choice: DataFrame | None = None) -> DataFrame:
+def match_status(docs: DataFrame, projects: DataFrame, tasks: DataFrame, project_choice: DataFrame | None = None, task_choice: DataFrame | None = None, problems: DataFrame | None = None) -> DataFrame:
     """doc_id, project_id, project_score, task_id, task_score, status, needs_review of every document.
 
     projects, tasks: best candidates (doc_id, cand_id, score, rank).  The choices
-    (doc_id, id, confidence) are a model's, where one was asked.
+    (doc_id, id, confidence) are a model's, where one was asked.  problems
+    (doc_id, problem): disabled, error (no projects were read) or task_error.
     """
     none = docs.select("doc_id").limit(0).select("doc_id", F.lit("").alias("id"), F.lit(0.0).alias("confidence"))
     top = lambda r, n: r.where("rank = 1").select("doc_id", F.col("cand_id").alias(f"{n}_id"), F.col("score").alias(f"{n}_score"))
@@ -247,6 +248,13 @@ def match_status(docs: DataFrame, projects: DataFrame, tasks: DataFrame, project
         .when(by_score, F.when(t_score, "matched").when(t_llm, "project_matched_task_matched_by_llm").otherwise("project_matched_task_not_matched"))
         .otherwise(F.when(t_score, "project_matched_by_llm_task_matched").when(t_llm, "matched_by_llm").otherwise("project_matched_by_llm_task_not_matched"))
     )
+    if problems is not None:
+        df = df.join(problems.groupBy("doc_id").agg(F.min("problem").alias("problem")), "doc_id", "left")
+        linked = status.startswith("project_matched") | status.contains("matched_by_llm") | (status == "matched")
+        status = F.when(F.col("problem").isin("disabled", "error"), F.col("problem")).when((F.col("problem") == "task_error") & linked & (status != "not_matched"), "project_matched_task_error").otherwise(status)
+        failed = F.coalesce(F.col("problem").isin("disabled", "error"), F.lit(False))
+        by_score, by_llm = by_score & ~failed, by_llm & ~failed
+        t_score, t_llm = t_score & F.col("problem").isNull(), t_llm & F.col("problem").isNull()
     has_p, has_t = by_score | by_llm, (by_score | by_llm) & (t_score | t_llm)
     project, task = F.when(by_score, F.col("project_id")).when(by_llm, F.col("project_pick")), F.when(t_score, F.col("task_id")).when(t_llm, F.col("task_pick"))
     return df.select("doc_id", project.alias("project_id"), F.when(has_p, F.col("project_score")).alias("project_score"), F.when(has_t, task).alias("task_id"), F.when(has_t, F.col("task_score")).alias("task_score"), status.alias("status"), (~has_t).alias("needs_review"))

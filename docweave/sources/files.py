@@ -126,6 +126,11 @@ def ordered_text(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
 
 
+def read_tasks(spark: SparkSession, path: str, project_ids: list[str]) -> DataFrame:
+    """The tasks of some projects, from a catalogue that is partitioned by project_id: other partitions aren't read."""
+    return spark.read.parquet(path).where(F.col("project_id").cast("string").isin(project_ids))
+
+
 def read_pages_until(fetch: Callable[[int, int], list | None], size: int = 100, most: int = 10) -> list:
     """All items of a paged catalogue; stops at a short page, no list, or the page limit."""
     out: list = []

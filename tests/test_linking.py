@@ -73,6 +73,38 @@ def test_statuses(spark):
     assert got == ["matched", "project_matched_task_not_matched", "project_matched_by_llm_task_matched", "not_matched", "not_matched"]
 
 
+def test_problems_have_their_status(spark):
+    docs = spark.createDataFrame([(i,) for i in range(4)], "doc_id int")
+    best = docs.selectExpr("doc_id", "'p' as cand_id", "0.9D as score", "1 as rank")
+    problems = spark.createDataFrame([(0, "disabled"), (1, "error"), (2, "task_error")], "doc_id int, problem string")
+    got = matching.match_status(docs, best, best, problems=problems).orderBy("doc_id").collect()
+    assert [r.status for r in got] == ["disabled", "error", "project_matched_task_error", "matched"]
+    assert [r.needs_review for r in got] == [True, True, True, False] and [r.project_id for r in got] == [None, None, "p", "p"]
+
+
+def test_texts_of_json(spark):
+    from docweave.functions.text import flatten_text
+
+    rows = [('"a"',), ('["a", {"title": "t", "name": "n"}, ["b"]]',), ('{"value": {"text": "x"}, "other": 1}',), ("3",), (None,), ("null",)]
+    got = [r.t for r in spark.createDataFrame(rows, "j string").select(flatten_text(F.col("j")).alias("t")).collect()]
+    assert got == [["a"], ["a", "n", "t", "b"], ["x"], ["3"], [], []]
+
+
+def test_layouts_are_cleaned_together(spark):
+    from docweave.operators.cleaning import clean_layouts
+
+    docs = spark.createDataFrame([(1, "CÔNG VĂN ĐẾN\nSố 193\nNội dung"), (2, "x y")], "doc_id int, text string")
+    segments = spark.createDataFrame([(1, 1, "a", "CÔNG VĂN ĐẾN", 0.1), (1, 1, "b", "Số 193", 0.12), (1, 1, "c", "Nội dung", 0.3)], "doc_id int, page int, seg_id string, text string, y double")
+    out, kept = clean_layouts(docs, segments)
+    assert [(r.doc_id, r.clean_text, r.removed_line_count, r.removed_segment_count) for r in out.orderBy("doc_id").collect()] == [(1, "Nội dung", 2, 2), (2, "x y", 0, 0)]
+    assert [r.seg_id for r in kept.collect()] == ["c"]
+
+
+def test_catalogue_partitions_are_pruned(spark, tmp_path):
+    spark.range(20).select((F.col("id") % 4).alias("project_id"), "id").write.partitionBy("project_id").parquet(str(tmp_path / "t"))
+    assert files.read_tasks(spark, str(tmp_path / "t"), ["2"]).count() == 5
+
+
 SEGMENT = "doc_id int, seg_id string, ord int, page int, text string, x double, y double, width double, height double"
 
 
