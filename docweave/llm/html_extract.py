@@ -202,18 +202,19 @@ def neighbours(lines: DataFrame) -> DataFrame:
     get consecutive numbers within their range; only the first and last numbers
     of the ranges meet in one place.
     """
-    ranged = lines.repartitionByRange("host", "path").sortWithinPartitions("host", "path")
-    numbered = materialize(ranged.select(F.monotonically_increasing_id().alias("pos"), "*"), "page-lines")
+    lines = materialize(lines, "page-lines")
+    ranged = lines.select("host", "path").repartitionByRange("host", "path").sortWithinPartitions("host", "path")
+    numbered = materialize(ranged.select(F.monotonically_increasing_id().alias("pos"), "host", "path"), "page-order")
     edges = numbered.groupBy((F.col("pos") / F.lit(1 << 33)).cast("long").alias("range")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     bridge = edges.select(F.col("hi").alias("pos"), F.lead("lo").over(Window.orderBy("range")).alias("bridge")).where("bridge is not null")
-    to_next = numbered.select("pos", "host", "path").join(bridge, "pos", "left").withColumn("next", F.coalesce("bridge", F.col("pos") + 1)).drop("bridge")
+    to_next = numbered.join(bridge, "pos", "left").withColumn("next", F.coalesce("bridge", F.col("pos") + 1)).drop("bridge", "pos")
     behind = numbered.select(F.col("pos").alias("next"), F.col("host").alias("h2"), F.col("path").alias("p2"))
     pairs = to_next.join(behind, "next").where("host = h2")
     first_different = F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length("p2"), F.lit(256))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring("path", i, F.lit(1)) == F.substring("p2", i, F.lit(1))), i).otherwise(n))
     both = pairs.withColumn("same", F.when((F.length("path") > 0) & (F.length("p2") > 0), first_different).otherwise(F.lit(0)))
-    both = both.select("host", "path", F.col("next").alias("near_pos"), "same", F.lit(1).alias("side")).unionByName(both.select("host", F.col("p2").alias("path"), F.col("pos").alias("near_pos"), "same", F.lit(0).alias("side")))
-    nearest = both.groupBy("host", "path").agg(F.min_by("near_pos", F.struct(-F.col("same"), "side")).alias("near_pos"))
-    return nearest.join(numbered.select(F.col("pos").alias("near_pos"), F.col("hashes").alias("near")), "near_pos").select("host", "path", "near")
+    both = both.select("host", "path", F.col("p2").alias("near_path"), "same", F.lit(1).alias("side")).unionByName(both.select("host", F.col("p2").alias("path"), F.col("path").alias("near_path"), "same", F.lit(0).alias("side")))
+    nearest = both.groupBy("host", "path").agg(F.min_by("near_path", F.struct(-F.col("same"), "side")).alias("near_path"))
+    return nearest.join(lines.select("host", F.col("path").alias("near_path"), F.col("hashes").alias("near")), ["host", "near_path"]).select("host", "path", "near")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -227,7 +228,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     near = neighbours(page_lines(pages, url, html))
     row_key = F.xxhash64(F.col(url), F.xxhash64(F.col(html)))
     keys = pages.select(row_key.alias("key"), host.alias("host"), path.alias("path")).distinct()
-    wanted = keys.join(near, ["host", "path"]).groupBy("key").agg(F.first("near").alias("near"))
+    wanted = keys.join(near, ["host", "path"]).select("key", "near")  # a key has one path, and a path one neighbour
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), row_key.alias("key")).join(wanted, "key", "left").drop("key")
 
     def run(batches: Iterator) -> Iterator:
