@@ -226,10 +226,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     keep = keep or [c for c in pages.columns if c != html]
     host, path = split_url(F.col(url))
     near = neighbours(page_lines(pages, url, html))
-    row_key = F.xxhash64(F.col(url), F.xxhash64(F.col(html)))
-    keys = pages.select(row_key.alias("key"), host.alias("host"), path.alias("path")).distinct()
-    wanted = keys.join(near, ["host", "path"]).select("key", "near")  # a key has one path, and a path one neighbour
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), row_key.alias("key")).join(wanted, "key", "left").drop("key")
+    # 128 bits name a row
+    row_key = [F.xxhash64(F.col(url), F.xxhash64(F.col(html))).alias("key"), F.xxhash64(F.lit(1), F.col(html), F.col(url)).alias("key2")]
+    keys = pages.select(*row_key, host.alias("host"), path.alias("path")).distinct()
+    wanted = keys.join(near, ["host", "path"]).select("key", "key2", "near")  # a key has one path, and a path one neighbour
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), *row_key).join(wanted, ["key", "key2"], "left").drop("key", "key2")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
