@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence; DataFrame functions only.
 
 Base rules count words, symbols, repeated lines and words of repeated 3-word
-windows.  The method then compares two histograms of a document with those of
-its language: character classes, and the language's most common words against
-all others.  A document is kept if the Jensen-Shannon divergences (base 2, 0 to
+windows.  The method then compares histograms of a document with those of its
+language: classes of characters, classes of words by the characters they hold
+(symbols, digits, capitals, none of these), and the language's most common words
+against all others.  A document is kept if the Jensen-Shannon divergences (base 2, 0 to
 1) stay under their limits; a histogram over too few characters or words says
 nothing and isn't held against a document.
 
@@ -35,10 +36,15 @@ COMMON_WORDS = {
 }
 PUNCTUATION = r"""[.,;:!?'"()\-]"""
 #: Fewest characters and words for a histogram to count, and the largest divergence of a kept document.
-MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CLASS_JSD, MAX_WORD_JSD = 0.03, 0.08
-#: A few numbers or names weigh more in a short text: the class limit is higher by this over the number of words.
-SHORT_TEXT_SLACK = 2.5
+MIN_CHARS, MIN_FORM_WORDS, MIN_WORDS = 200, 20, 100
+MAX_CLASS_JSD, MAX_FORM_JSD, MAX_WORD_JSD = 0.09, 0.1, 0.12
+#: Words with a symbol; else with a digit; else with two capitals and no small letter.
+_S, _W = r"#*$%&|<>", r"\x20\x09-\x0D"
+FORMS = [
+    rf"[^{_W}{_S}]*+[{_S}][^{_W}]*",
+    rf"(?<![^{_W}])[^{_W}{_S}0-9]*+[0-9][^{_W}{_S}]*+(?![^{_W}])",
+    rf"(?<![^{_W}])(?:[^{_W}{_S}0-9\p{{Ll}}\p{{Lu}}]*+\p{{Lu}}){{2}}[^{_W}{_S}0-9\p{{Ll}}]*+(?![^{_W}])",
+]
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -54,7 +60,7 @@ def words_of(text: Column) -> Column:
 
 
 def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """keep columns, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common."""
+    """keep columns, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, forms, common."""
     long = lambda c: c.cast("long")
     base = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(lang).alias("f_lang"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     base = _once(base, w=words_of(F.col("x")))
@@ -83,21 +89,23 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: st
         long(F.size("w")).alias("n_words"), long(n - spaces).alias("word_chars"), long(n - F.length(F.translate("x", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("ln") - F.size(F.array_distinct("ln"))).alias("n_dup_lines"), long(F.when(F.col("places").isNull(), 0).otherwise(covered)).alias("n_repeat_words"),
         long(upper).alias("c_upper"), long(letters).alias("c_letters"), long(digits).alias("c_digits"), long(points).alias("c_points"), long(spaces).alias("c_spaces"), long(n).alias("c_all"),
+        F.array(*[long(F.regexp_count("x", F.lit(p))) for p in FORMS]).alias("f3"),
         F.transform("clist", lambda c: long(F.size(F.filter("hits", lambda s: s == c)))).alias("words"),
     )
     classes = F.array("c_upper", F.col("c_letters") - F.col("c_upper"), "c_digits", "c_points", "c_spaces", F.col("c_all") - F.col("c_letters") - F.col("c_digits") - F.col("c_points") - F.col("c_spaces"))
     rest = F.col("n_words") - F.aggregate("words", F.lit(0).cast("long"), lambda a, b: a + b)
     out = base.withColumn("classes", classes).withColumn("common", F.when(F.col("words").isNotNull(), F.concat("words", F.array(rest))))
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("words", "c_upper", "c_letters", "c_digits", "c_points", "c_spaces", "c_all")
+    forms = F.concat("f3", F.array(F.col("n_words") - F.aggregate("f3", F.lit(0).cast("long"), lambda a, b: a + b)))
+    return out.withColumn("forms", forms).withColumn("base_failed", failed).drop("f3", "words", "c_upper", "c_letters", "c_digits", "c_points", "c_spaces", "c_all")
 
 
 def language_references(features: DataFrame) -> DataFrame:
     """One row per language: summed histograms of the documents that pass the base rules."""
-    sums = [F.sum(F.element_at(c, i + 1)).alias(f"{c}_{i}") for c, n in (("classes", 6), ("common", len(COMMON_WORDS["en"]) + 1)) for i in range(n)]
+    sums = [F.sum(F.element_at(c, i + 1)).alias(f"{c}_{i}") for c, n in (("classes", 6), ("forms", 4), ("common", len(COMMON_WORDS["en"]) + 1)) for i in range(n)]
     found = features.where("not base_failed").groupBy("ref_lang").agg(*sums)
     gather = lambda c, n: F.array(*[F.col(f"{c}_{i}") for i in range(n)])
-    return found.select(F.col("ref_lang").alias("r_lang"), gather("classes", 6).alias("r_classes"), gather("common", len(COMMON_WORDS["en"]) + 1).alias("r_common"))
+    return found.select(F.col("ref_lang").alias("r_lang"), gather("classes", 6).alias("r_classes"), gather("forms", 4).alias("r_forms"), gather("common", len(COMMON_WORDS["en"]) + 1).alias("r_common"))
 
 
 def jsd(p: Column, q: Column) -> Column:
@@ -110,13 +118,13 @@ def jsd(p: Column, q: Column) -> Column:
 
 
 def compared(features: DataFrame, references: DataFrame) -> DataFrame:
-    """The features with class_jsd and word_jsd; null for a language without a reference."""
+    """The features with class_jsd, form_jsd and word_jsd; null for a language without a reference."""
     joined = features.join(references, F.col("ref_lang").eqNullSafe(F.col("r_lang")), "left")
-    return joined.withColumn("class_jsd", jsd(F.col("classes"), F.col("r_classes"))).withColumn("word_jsd", jsd(F.col("common"), F.col("r_common")))
+    return joined.withColumn("class_jsd", jsd(F.col("classes"), F.col("r_classes"))).withColumn("form_jsd", jsd(F.col("forms"), F.col("r_forms"))).withColumn("word_jsd", jsd(F.col("common"), F.col("r_common")))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
-    """keep columns, the counts, base_failed, class_jsd, word_jsd, kept of each row.
+    """keep columns, the counts, base_failed, the divergences, kept of each row.
 
     references: a table as of ``language_references``; by default it is made
     from all the documents.
@@ -125,9 +133,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     features = materialize(text_features(docs, keep, text, lang), "quality-features")
     if references is None:
         first = materialize(language_references(features), "quality-references")
-        near = compared(features, first).where((F.col("class_jsd") <= MAX_CLASS_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MAX_WORD_JSD))
+        near = compared(features, first).where((F.col("class_jsd") <= MAX_CLASS_JSD) & (F.col("form_jsd") <= MAX_FORM_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MAX_WORD_JSD))
         references = materialize(language_references(near), "quality-references")
     joined = compared(features, references)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    odd = ((chars >= MIN_CHARS) & (F.col("class_jsd") > MAX_CLASS_JSD + SHORT_TEXT_SLACK / F.greatest("n_words", F.lit(1)))) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_jsd") > MAX_WORD_JSD))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "word_jsd", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    odd = ((chars >= MIN_CHARS) & (F.col("class_jsd") > MAX_CLASS_JSD)) | ((F.col("n_words") >= MIN_FORM_WORDS) & (F.col("form_jsd") > MAX_FORM_JSD)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_jsd") > MAX_WORD_JSD))
+    return joined.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "form_jsd", "word_jsd", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))

@@ -58,7 +58,7 @@ def test_junk_goes_and_prose_stays(spark, sf):
     got = quality_rules.judge(docs, keep=["doc_id"]).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
     assert all(r.kept for r in good)
-    assert not bad or sum(r.kept for r in bad) <= 0.25 * len(bad)
+    assert not bad or sum(r.kept for r in bad) <= 0.05 * len(bad)
 
 
 def test_forward_backward_equals_enumeration():
