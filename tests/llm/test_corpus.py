@@ -205,3 +205,39 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     assert {r.doc_id for r in rows} <= {r.doc_id for r in kept.select("doc_id").collect()}
     assert cp.near_dedup(spark, docs.limit(0), sf).columns == cp.COLUMNS
     assert cp.mix_sources(spark, docs.limit(0), sf).columns == cp.COLUMNS
+
+
+def test_pipeline_stages_equal_plain_python(spark, sf):
+    import corpus_pipeline as cp
+    import sentencepiece
+
+    from docweave.llm.common import materialize
+    from docweave.llm.queries import TOKENIZERS
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = materialize(cp.quality_classifier(spark, docs, sf), "t1")
+    two = materialize(cp.quality_rule_filter(spark, one, sf), "t2")
+    texts = {r.doc_id: r.text for r in two.collect()}
+    for x in texts.values():
+        words = x.split()
+        assert len(words) >= 50 and sum(any(c in "#*$%&|<>" for c in w) for w in words) <= 0.35 * len(words)
+    three = materialize(cp.near_dedup(spark, two, sf), "t3")
+    sets = {i: _shingles(x) for i, x in texts.items()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert {r.doc_id for r in three.collect()} == {i for i, c in components(sets, links).items() if i == c}
+    kept = {r.doc_id: (r.text, r.source) for r in three.collect()}
+    four = materialize(cp.mix_sources(spark, three, sf), "t4")
+    sizes, taken = {}, {}
+    for x, source in kept.values():
+        sizes[source] = sizes.get(source, 0) + len(x.split())
+    rows = four.collect()
+    for r in rows:
+        assert r.text in kept[r.doc_id][0] or set(r.text.split()) <= set(kept[r.doc_id][0].split())
+        assert r.source == kept[r.doc_id][1] and r.n_chars == len(r.text)
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    want = _water(sizes, {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))})
+    for s in sizes:
+        assert abs(taken.get(s, 0) - want[s]) <= 0.05 * want[s] + 3 * mx.BLOCK
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    five = cp.encode(spark, four, sf).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in five) == sorted((r.doc_id, model.encode(r.text)) for r in rows)
