@@ -71,7 +71,7 @@ f AS (SELECT t.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(x, '[\x
   len(list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
   coalesce(n_repeat, 0) AS n_repeat_words, length(x) AS c, length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) AS c1, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) AS c2, length(x) - length(regexp_replace(x, '[0-9]', '', 'g')) AS c3,
   length(x) - length(regexp_replace(x, '[.,;:!?''"()\-]', '', 'g')) AS c4, len(list_filter(w, lambda s: regexp_matches(s, '[#*$%&|<>]'))) AS s1, len(list_filter(w, lambda s: regexp_matches(s, '[0-9]') AND NOT regexp_matches(s, '[#*$%&|<>]'))) AS s2,
-  len(list_filter(w, lambda s: regexp_matches(s, '\p{{Lu}}[^\p{{Ll}}]*\p{{Lu}}') AND NOT regexp_matches(s, '[#*$%&|<>0-9]|\p{{Ll}}'))) AS s3, list_transform({_LIST}, lambda k: len(list_filter(w, lambda s: s = k))) AS hits FROM t LEFT JOIN rep ON t.r = rep.r),
+  CASE WHEN 10 * length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) < length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) THEN 0 ELSE 1 END * len(list_filter(w, lambda s: regexp_matches(s, '\p{{Lu}}[^\p{{Ll}}]*\p{{Lu}}') AND NOT regexp_matches(s, '[#*$%&|<>0-9]|\p{{Ll}}'))) AS s3, list_transform({_LIST}, lambda k: len(list_filter(w, lambda s: s = k))) AS hits FROM t LEFT JOIN rep ON t.r = rep.r),
 g AS (SELECT *, [c1, c2 - c1, c3, c4, c - word_chars, c - c2 - c3 - c4 - (c - word_chars)] AS classes, list_append(hits, n_words - list_sum(hits)::BIGINT) AS common, [s1, s2, s3, n_words - s1 - s2 - s3] AS forms, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 r1 AS ({_reference('g')}), j1 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('forms', 'rf', 4)} AS fj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r1 ON g.lang IS NOT DISTINCT FROM r1.lang),
 r2 AS ({_reference('(SELECT * FROM j1 WHERE cj <= 0.09 AND fj <= 0.1 AND coalesce(wj, 0) <= 0.12)')}), j2 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('forms', 'rf', 4)} AS fj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r2 ON g.lang IS NOT DISTINCT FROM r2.lang)

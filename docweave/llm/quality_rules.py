@@ -38,7 +38,8 @@ PUNCTUATION = r"""[.,;:!?'"()\-]"""
 #: Fewest characters and words for a histogram to count, and the largest divergence of a kept document.
 MIN_CHARS, MIN_FORM_WORDS, MIN_WORDS = 200, 20, 100
 MAX_CLASS_JSD, MAX_FORM_JSD, MAX_WORD_JSD = 0.09, 0.1, 0.12
-#: Words with a symbol; else with a digit; else with two capitals and no small letter.
+#: Words with a symbol; else with a digit; else with two capitals and no small letter, which
+#: are looked for where a tenth of the letters are capitals.
 _S, _W = r"#*$%&|<>", r"\x20\x09-\x0D"
 FORMS = [
     rf"[^{_W}{_S}]*+[{_S}][^{_W}]*",
@@ -83,13 +84,17 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: st
     base = _once(base, places=F.array_distinct(F.flatten(twins)))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda i: F.array(i, i + 1, i + 2)))))
     spaces = n - F.length(F.translate("x", SPACES, ""))
-    upper, letters, digits, points = gone(r"\P{Lu}+"), gone(r"\P{L}+"), n - gone(r"[0-9]+"), n - gone(PUNCTUATION + "+")
+    base = _once(base, upper=gone(r"\P{Lu}+"), letters=gone(r"\P{L}+"), digits=n - gone(r"[0-9]+"), symbols=n - F.length(F.translate("x", SYMBOLS, "")))
+    upper, letters, digits, points = F.col("upper"), F.col("letters"), F.col("digits"), n - gone(PUNCTUATION + "+")
+    # most texts have no word of these forms, and aren't searched for any
+    search = [F.col("symbols") > 0, digits > 0, (upper > 1) & (10 * upper >= letters)]
+    forms = [long(F.when(c, F.regexp_count("x", F.lit(p))).otherwise(0)) for c, p in zip(search, FORMS, strict=True)]
     base = base.select(
         *[F.col(f"`k_{c}`").alias(c) for c in keep], F.col("f_lang").alias("ref_lang"),
-        long(F.size("w")).alias("n_words"), long(n - spaces).alias("word_chars"), long(n - F.length(F.translate("x", SYMBOLS, ""))).alias("n_symbols"),
+        long(F.size("w")).alias("n_words"), long(n - spaces).alias("word_chars"), long(F.col("symbols")).alias("n_symbols"),
         long(F.size("ln") - F.size(F.array_distinct("ln"))).alias("n_dup_lines"), long(F.when(F.col("places").isNull(), 0).otherwise(covered)).alias("n_repeat_words"),
         long(upper).alias("c_upper"), long(letters).alias("c_letters"), long(digits).alias("c_digits"), long(points).alias("c_points"), long(spaces).alias("c_spaces"), long(n).alias("c_all"),
-        F.array(*[long(F.regexp_count("x", F.lit(p))) for p in FORMS]).alias("f3"),
+        F.array(*forms).alias("f3"),
         F.transform("clist", lambda c: long(F.size(F.filter("hits", lambda s: s == c)))).alias("words"),
     )
     classes = F.array("c_upper", F.col("c_letters") - F.col("c_upper"), "c_digits", "c_points", "c_spaces", F.col("c_all") - F.col("c_letters") - F.col("c_digits") - F.col("c_points") - F.col("c_spaces"))
