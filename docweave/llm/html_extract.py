@@ -166,16 +166,26 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def own_lines(lines: list[tuple[int, str]]) -> tuple[bool, list[int]]:
+    """(whether the page has a main zone, places of the lines that may be its text)."""
+    has_main = any(zone == MAIN for zone, _ in lines)
+    return has_main, [i for i, (zone, _) in enumerate(lines) if zone == (MAIN if has_main else OPEN)]
+
+
+def keep_own(texts: list[str], at: list[int], has_main: bool, hashes: list[int], neighbour: list[int] | None) -> str:
+    """The page's text: its lines (which stand at ``at`` among all) without those shared with the neighbour."""
+    shared = shared_lines(hashes, neighbour) if neighbour else set()
+    if not has_main:
+        common = sum(len(s) for i, s in zip(at, texts, strict=True) if i in shared)
+        if common <= MIRROR_SHARE * sum(map(len, texts)):
+            texts = [s for i, s in zip(at, texts, strict=True) if i not in shared]
+    return " ".join(texts)
+
+
 def main_text(lines: list[tuple[int, str]], neighbour: list[int] | None) -> str:
     """The page's own lines, joined by blanks."""
-    shared = shared_lines([line_hash(s) for _, s in lines], neighbour) if neighbour else set()
-    if any(zone == MAIN for zone, _ in lines):
-        return " ".join(s for zone, s in lines if zone == MAIN)
-    total = sum(len(s) for zone, s in lines if zone == OPEN)
-    common = sum(len(s) for i, (zone, s) in enumerate(lines) if zone == OPEN and i in shared)
-    if common > MIRROR_SHARE * total:
-        shared = set()
-    return " ".join(s for i, (zone, s) in enumerate(lines) if zone == OPEN and i not in shared)
+    has_main, at = own_lines(lines)
+    return keep_own([lines[i][1] for i in at], at, has_main, [line_hash(s) for _, s in lines], neighbour)
 
 
 def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
@@ -220,8 +230,9 @@ def neighbours(lines: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """keep columns and text of every row.
 
-    The html is read twice (its lines' hashes first) and dealt once, by a key of
-    the row, to meet its neighbour's hashes.
+    The html is read twice, first for its lines' hashes.  What may be a page's
+    text, not its html, is dealt once, by a key of the row, to meet the hashes of
+    its neighbour.
     """
     keep = keep or [c for c in pages.columns if c != html]
     host, path = split_url(F.col(url))
@@ -230,14 +241,33 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     row_key = [F.xxhash64(F.col(url), F.xxhash64(F.col(html))).alias("key"), F.xxhash64(F.lit(1), F.col(html), F.col(url)).alias("key2")]
     keys = pages.select(*row_key, host.alias("host"), path.alias("path")).distinct()
     wanted = keys.join(near, ["host", "path"]).select("key", "key2", "near")  # a key has one path, and a path one neighbour
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), *row_key).join(wanted, ["key", "key2"], "left").drop("key", "key2")
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.coalesce(F.col(html), F.lit("")).alias("html"), *row_key)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("k_"))
 
-    def run(batches: Iterator) -> Iterator:
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, places, main, hashes = [], [], [], []
+            for x in batch.column("html").to_pylist():
+                lines = read_lines(x)
+                has_main, at = own_lines(lines)
+                main.append(has_main)
+                places.append(at)
+                texts.append([lines[i][1] for i in at])
+                hashes.append([line_hash(s) for _, s in lines])
+            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(main, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))]
+            names = [n for n in batch.schema.names if n != "html"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, "lines", "places", "has_main", "hashes"])
+
+    def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(read_lines(x), near) for x, near in zip(batch.column("__html").to_pylist(), batch.column("near").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+            parts = (batch.column(c).to_pylist() for c in ("lines", "places", "has_main", "hashes", "near"))
+            texts = [keep_own(*row) for row in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"k_{c}") for c in keep), pa.array(texts, pa.string())], names=[*(f"k_{c}" for c in keep), "made"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "text string"])
-    return rows.mapInArrow(tidy(run), schema)
+    parsed = rows.mapInArrow(tidy(read), f"{kept}, key long, key2 long, lines array<string>, places array<int>, has_main boolean, hashes array<long>")
+    out = parsed.join(wanted, ["key", "key2"], "left").mapInArrow(tidy(join), f"{kept}, made string")
+    return out.select(*[F.col(f"`k_{c}`").alias(c) for c in keep], F.col("made").alias("text"))
