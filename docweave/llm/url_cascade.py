@@ -10,8 +10,8 @@ exact, and it needs no join: the levels are constants in the expression.
 
 Size: the first level is sized so that about as many false positives as listed
 keys remain, so all levels together take a few bits times log2(universe/list)
-per listed key.  That bound is checked: a list beyond ``MAX_FILTER_BITS`` is
-looked up with a join on the key instead (``listed_by_join``).
+per listed key.  That bound is checked: a list of more than ``MAX_KEYS`` keys of
+the corpus is looked up by a join of the distinct hosts instead.
 
 Hosts and paths: the host stands behind the first ``://`` up to ``/``, ``?``,
 ``#`` or the end, A-Z in lower case; the path follows up to ``?``, ``#`` or the
@@ -142,12 +142,13 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(starts, lambda p: F.concat(h, p))))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], blocked_domains: list[str], url: str = "url", keep: list[str] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], blocked_domains: list[str] | DataFrame, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """keep columns, host, path, rule, verdict (allow or block) of each row.
 
     rules: host and path start, to allow or block; the longest rule that fits
     wins, of equal lengths the one with the longer host.  Without a rule, a url
-    is blocked if its host or a domain above it is in ``blocked_domains``.
+    is blocked if its host or a domain above it is in ``blocked_domains``, a
+    list or, for long ones, a table with a column ``key``.
     Both lists are looked up in cascades over all keys that the corpus' urls
     make.  Empty urls fit nothing and are allowed.
     """
@@ -159,16 +160,17 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked_domains: list[str], u
     distinct = materialize(base.select("__host", *[F.when(F.length("__path") >= n, F.substring("__path", 1, n)).alias(f"p{n}") for n in lengths]).distinct(), "url-keys")
     longest = F.coalesce(*[F.col(f"p{n}") for n in reversed(lengths)], F.lit(""))
 
-    def finder(listed: list[str], keys: Column):
+    def finder(listed: DataFrame, keys: Column) -> Cascade | None:
         universe = materialize(distinct.select(F.explode(keys).alias("key")).distinct(), "universe")
-        frame = spark.createDataFrame([(k,) for k in listed] or [], "key string")
-        cascade = build_cascade(frame, universe)
-        if cascade is None:
-            raise ValueError(f"over {MAX_KEYS} listed keys: use listed_by_join")
-        return cascade
-
-    by_rule = finder(list(rules), rule_keys(F.col("__host"), longest, lengths))
-    by_domain = finder([d.lower() for d in blocked_domains], host_suffixes(F.col("__host")))
+        return build_cascade(listed, universe)
+
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    by_rule = finder(frame(rules), rule_keys(F.col("__host"), longest, lengths))
+    if by_rule is None:
+        raise ValueError(f"over {MAX_KEYS} rules")
+    domains = blocked_domains if isinstance(blocked_domains, DataFrame) else frame(blocked_domains)
+    domains = domains.select(lower_ascii(F.col("key")).alias("key"))
+    by_domain = finder(domains, host_suffixes(F.col("__host")))
     fits = F.filter(rule_keys(F.col("__host"), F.col("__path"), lengths), lambda k: by_rule.contains(k))
     # the keys stand in the order of their hosts' lengths: of equal lengths the first, with the longer host, wins
     rule = F.aggregate(fits, F.lit(None).cast("string"), lambda best, k: F.when(best.isNull() | (F.length(k) > F.length(best)), k).otherwise(best))
@@ -176,13 +178,11 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked_domains: list[str], u
     said = F.lit(None).cast("string")
     for k, v in rules.items():
         said = F.when(F.col("__rule") == k, F.lit(v)).otherwise(said)
-    domain = F.exists(host_suffixes(F.col("__host")), lambda h: by_domain.contains(h))
+    if by_domain is None:  # too long for constants: the distinct hosts meet the list
+        hosts = distinct.select(F.col("__host").alias("__h")).distinct().select("__h", F.explode(host_suffixes(F.col("__h"))).alias("key"))
+        listed = hosts.join(domains.distinct(), "key", "left_semi").select("__h").distinct().withColumn("__listed", F.lit(True))
+        out, domain = out.join(listed, F.col("__host") == F.col("__h"), "left"), F.coalesce("__listed", F.lit(False))
+    else:
+        domain = F.exists(host_suffixes(F.col("__host")), lambda h: by_domain.contains(h))
     verdict = F.coalesce(said, F.when(domain, "block").otherwise("allow"))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
-
-
-def listed_by_join(pages: DataFrame, listed: DataFrame, url: str = "url", row: str = "page_id") -> DataFrame:
-    """Lists of any size: (row, key) of each key of a url's host that ``listed`` (column key) holds, by a join on the key."""
-    host, _ = split_url(F.col(url))
-    keys = pages.select(F.col(row), F.explode(host_suffixes(host)).alias("key"))
-    return keys.join(listed.select("key").distinct(), "key")

@@ -80,8 +80,14 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(cascade.levels) > 1 and cascade.bits < 40 * 353
     wrong = universe.withColumn("got", cascade.contains(F.col("key"))).where(F.col("got") != (F.substring("key", 2, 9).cast("int") % 17 == 0))
     assert wrong.count() == 0
-    by_join = uc.listed_by_join(spark.createDataFrame([(1, "http://a.k17/x")], "page_id long, url string"), listed)
-    assert [r.key for r in by_join.collect()] == ["k17"]
+
+
+def test_a_list_too_long_for_constants_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(uc, "MAX_KEYS", 2)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.k1/x", "http://k2/", "http://k3.a/", None, "http://K3/"])], "page_id long, url string")
+    listed = spark.createDataFrame([("k1",), ("k2",), ("K3",), ("k9",)], "key string")
+    got = uc.judge(pages, {"k9/": "allow"}, listed, keep=["page_id"]).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "block", "allow", "allow", "block"]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
