@@ -189,40 +189,42 @@ def main_text(lines: list[tuple[int, str]], neighbour: list[int] | None) -> str:
 
 
 def page_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, path and line hashes of one row for each URL path."""
+    """host, path, line hashes of one row for each URL path, and open: whether a page of it has no main zone."""
     host, path = split_url(F.col(url))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            hashes = [[line_hash(s) for _, s in read_lines(x)] for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), batch.column("digest"), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "path", "digest", "hashes"])
+            pages = [read_lines(x) for x in batch.column("html").to_pylist()]
+            hashes = pa.array([[line_hash(s) for _, s in lines] for lines in pages], pa.list_(pa.int64()))
+            open_ = pa.array([not own_lines(lines)[0] for lines in pages], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), batch.column("digest"), hashes, open_], names=["host", "path", "digest", "hashes", "open"])
 
     rows = pages.select(host.alias("host"), path.alias("path"), F.xxhash64(F.col(html)).alias("digest"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     small_batches(pages.sparkSession)
-    parsed = rows.mapInArrow(tidy(run), "host string, path string, digest long, hashes array<long>")
-    return parsed.groupBy("host", "path").agg(F.min_by("hashes", "digest").alias("hashes"))
+    parsed = rows.mapInArrow(tidy(run), "host string, path string, digest long, hashes array<long>, open boolean")
+    return parsed.groupBy("host", "path").agg(F.min_by("hashes", "digest").alias("hashes"), F.max("open").alias("open"))
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    """(host, path, near): the line hashes of the nearest other path of the host, if there is one.
+    """(host, path, near): the line hashes of the nearest other path of the host, for paths that are open and have one.
 
     Paths are sorted over all hosts by ranges, so a large host is spread.  Rows
     get consecutive numbers within their range; only the first and last numbers
     of the ranges meet in one place.
     """
     lines = materialize(lines, "page-lines")
-    ranged = lines.select("host", "path").repartitionByRange("host", "path").sortWithinPartitions("host", "path")
-    numbered = materialize(ranged.select(F.monotonically_increasing_id().alias("pos"), "host", "path"), "page-order")
+    ranged = lines.select("host", "path", "open").repartitionByRange("host", "path").sortWithinPartitions("host", "path")
+    numbered = materialize(ranged.select(F.monotonically_increasing_id().alias("pos"), "host", "path", "open"), "page-order")
     edges = numbered.groupBy((F.col("pos") / F.lit(1 << 33)).cast("long").alias("range")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     bridge = edges.select(F.col("hi").alias("pos"), F.lead("lo").over(Window.orderBy("range")).alias("bridge")).where("bridge is not null")
     to_next = numbered.join(bridge, "pos", "left").withColumn("next", F.coalesce("bridge", F.col("pos") + 1)).drop("bridge", "pos")
-    behind = numbered.select(F.col("pos").alias("next"), F.col("host").alias("h2"), F.col("path").alias("p2"))
-    pairs = to_next.join(behind, "next").where("host = h2")
+    behind = numbered.select(F.col("pos").alias("next"), F.col("host").alias("h2"), F.col("path").alias("p2"), F.col("open").alias("o2"))
+    pairs = to_next.join(behind, "next").where("host = h2 and (open or o2)")
     first_different = F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length("p2"), F.lit(256))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring("path", i, F.lit(1)) == F.substring("p2", i, F.lit(1))), i).otherwise(n))
     both = pairs.withColumn("same", F.when((F.length("path") > 0) & (F.length("p2") > 0), first_different).otherwise(F.lit(0)))
-    both = both.select("host", "path", F.col("p2").alias("near_path"), "same", F.lit(1).alias("side")).unionByName(both.select("host", F.col("p2").alias("path"), F.col("path").alias("near_path"), "same", F.lit(0).alias("side")))
+    both = both.where("open").select("host", "path", F.col("p2").alias("near_path"), "same", F.lit(1).alias("side")).unionByName(both.where("o2").select("host", F.col("p2").alias("path"), F.col("path").alias("near_path"), "same", F.lit(0).alias("side")))
     nearest = both.groupBy("host", "path").agg(F.min_by("near_path", F.struct(-F.col("same"), "side")).alias("near_path"))
     return nearest.join(lines.select("host", F.col("path").alias("near_path"), F.col("hashes").alias("near")), ["host", "near_path"]).select("host", "path", "near")
 
@@ -255,7 +257,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
                 main.append(has_main)
                 places.append(at)
                 texts.append([lines[i][1] for i in at])
-                hashes.append([line_hash(s) for _, s in lines])
+                hashes.append([] if has_main else [line_hash(s) for _, s in lines])  # a main zone stays as it is
             arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(main, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))]
             names = [n for n in batch.schema.names if n != "html"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, "lines", "places", "has_main", "hashes"])
