@@ -27,7 +27,8 @@ def expand_abbreviations(c: Column) -> Column:
     """Abbreviations between word boundaries by what they stand for, longest first."""
     quote = lambda a: "".join("\\" + x if not x.isalnum() and x != " " else x for x in a)
     ordered = sorted(ABBREVIATIONS.items(), key=lambda kv: -len(kv[0]))
-    return reduce(lambda out, kv: F.regexp_replace(out, rf"(?U)\b{quote(kv[0])}\b", kv[1]), ordered, c)
+    # within a lambda the long chain is evaluated as it stands, not compiled into one method beyond the JVM's limit
+    return let(c, lambda x: reduce(lambda out, kv: F.regexp_replace(out, rf"(?U)\b{quote(kv[0])}\b", kv[1]), ordered, x))
 
 
 def char_grams(norm: Column, low: int = 2, high: int = 5) -> Column:

@@ -131,7 +131,7 @@ g4 AS (SELECT g3.doc_id, members || ',' || h.b AS members FROM g3 JOIN h ON g3.d
 SELECT doc_id, seg_id AS members, 1::BIGINT AS n FROM s UNION ALL SELECT doc_id, members, 2 FROM g2 UNION ALL SELECT doc_id, members, 3 FROM g3 UNION ALL SELECT doc_id, members, 4 FROM g4"""
 SQL["q_nearest_segments"] = f"""
 SELECT doc_id, at_id, seg_id, rank FROM (SELECT b.doc_id, a.seg_id AS at_id, b.seg_id, row_number() OVER (PARTITION BY a.doc_id, a.seg_id ORDER BY abs(a.ord - b.ord), b.ord) AS rank
-  FROM {_SEG} a JOIN {_SEG} b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.ord % 10 = 0) WHERE rank <= 6"""
+  FROM {_SEG} a JOIN {_SEG} b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.ord = 20 * (a.page - 1)) WHERE rank <= 6"""
 SQL["q_box_union"] = f"SELECT doc_id, page::INT AS page, round(min(x), 6)::DOUBLE AS x, round(min(y), 6)::DOUBLE AS y, round(max(x) + 0.3 - min(x), 6)::DOUBLE AS width, round(max(y) + 0.03 - min(y), 6)::DOUBLE AS height FROM {_SEG} GROUP BY doc_id, page"
 SQL["q_words_to_lines"] = """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, line FROM (SELECT doc_id, i // 9 AS k, string_agg(w, ' ' ORDER BY i) AS line FROM

@@ -246,8 +246,9 @@ def q_contract_wide(spark, sf):
 
 
 def payload_fields(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 4 != 1)
-    n = F.concat(F.lit("Số: "), F.col("o_orderkey").cast("string"))
+    """A payload for every order: an issuer, a number, or no value, by the key."""
+    o = table(spark, sf, "orders")
+    n = F.when(F.col("o_orderkey") % 4 != 1, F.concat(F.lit("Số: "), F.col("o_orderkey").cast("string")))
     return o.select(
         F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 4 == 2, "issuer").otherwise("document_number").alias("field_key"), n.alias("value"), F.lit(None).cast("string").alias("norm"), F.lit(None).cast("double").alias("amount"), n.alias("evidence"),
         F.when(F.col("o_orderkey") % 3 == 0, 0.5).otherwise(0.75).alias("confidence"), F.lit("llm").alias("source"),
@@ -336,7 +337,8 @@ def catalogue(spark, sf):
 
 
 def asked(spark, sf):
-    return table(spark, sf, "part").where(F.col("p_partkey") % 100 == 0).select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("q_ord"), F.concat_ws(" ", "p_type", "p_name").alias("query"))
+    """Every distinct part name as a query of its own."""
+    return table(spark, sf, "part").select(F.col("p_name").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("q_ord"), F.col("doc_id").alias("query"))
 
 
 @query
@@ -415,7 +417,7 @@ def q_segment_groups(spark, sf):
 @query
 def q_nearest_segments(spark, sf):
     s = segments(spark, sf)
-    at = s.where(F.col("ord") % 10 == 0).select("doc_id", "seg_id")
+    at = s.groupBy("doc_id", "page").agg(F.min_by("seg_id", "ord").alias("seg_id")).select("doc_id", "seg_id")
     return layout.nearest_segments(s, at).select("doc_id", "at_id", "seg_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -426,9 +428,10 @@ def q_box_union(spark, sf):
 
 @query
 def q_box_greedy(spark, sf):
-    """fields that quote segments of their document take their boxes one after another."""
+    """fields that quote the first line of each page take their boxes one after another."""
     s = segments(spark, sf)
-    fields = s.where(F.col("ord") < 6).select("doc_id", F.col("ord").alias("f_ord"), F.concat(F.lit("field_"), F.col("ord")).alias("field_key"), F.col("text").alias("evidence"), F.col("text").alias("value"), F.lit(None).cast("string").alias("norm"))
+    first = s.groupBy("doc_id", "page").agg(F.min_by("text", "ord").alias("text"))
+    fields = first.select("doc_id", F.col("page").alias("f_ord"), F.concat(F.lit("field_"), F.col("page")).alias("field_key"), F.col("text").alias("evidence"), F.col("text").alias("value"), F.lit(None).cast("string").alias("norm"))
     return layout.attach_boxes(fields, s).select("doc_id", "field_key", "score", "page", F.array_join("segment_ids", ",").alias("segment_ids"))
 
 
@@ -565,7 +568,7 @@ def q_match_status(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
     k = F.col("doc_id")
     best = lambda score: o.select("doc_id", F.lit("x").alias("cand_id"), score.alias("score"), F.lit(1).alias("rank"))
-    picks = o.where(k % 2 == 0).select("doc_id", F.lit("y").alias("id"), F.when(k % 4 == 0, 0.7).otherwise(0.5).alias("confidence"))
+    picks = o.select("doc_id", F.lit("y").alias("id"), F.when(k % 4 == 0, 0.7).when(k % 2 == 0, 0.5).alias("confidence"))
     out = matching.match_status(o, best(F.when(k % 3 == 0, 0.9).when(k % 3 == 1, 0.7).otherwise(0.2)), best(F.when(k % 5 < 2, 0.6).otherwise(0.3)), picks)
     return out.select("doc_id", "status", "needs_review")
 
