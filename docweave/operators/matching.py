@@ -158,7 +158,9 @@ def rank(queries: DataFrame, candidates: DataFrame, top: int | None = None, use_
     distinct = with_forms(asked.select("query").distinct(), "query", "q").withColumn("norm", F.col("q_norm"))
     known = with_forms(candidates.withColumn("text", expand_abbreviations(F.col("text"))), "text", "c").withColumn("norm", F.col("c_norm"))
     # every query of a document is ranked against the whole catalogue: that is the operator's result
-    pairs = distinct.drop("norm").join(known.drop("norm"), F.lit(True), "inner")
+    # whichever side streams, its rows stay dealt over all tasks, for the ratio of each pair is costly
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = distinct.drop("norm").repartition(n, "query").join(known.drop("norm").repartition(n, "cand_id"), F.lit(True), "inner")
     if use_tfidf:
         scores = tfidf_scores(distinct.select("query", "norm"), known.select("cand_id", "norm"), "query", "cand_id")
         pairs = pairs.join(scores, ["query", "cand_id"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
