@@ -15,6 +15,8 @@ from docweave.llm import line_crf, minhash_dedup, mixture, quality_rules, senten
 from docweave.llm.common import materialize, table
 from docweave.llm.queries import TOKENIZERS
 
+#: Least similarity of near duplicates in the pipeline, in percent; op5_minhash_dedup has its own.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -31,7 +33,7 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return minhash_dedup.keep_one(docs).select(*COLUMNS)
+    return minhash_dedup.keep_one(docs, percent=NEAR_PERCENT).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

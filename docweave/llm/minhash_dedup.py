@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of five words (of all its words, if
 there are fewer), as 64-bit hashes.  Documents with equal sets form a node, so
-exact copies never meet as pairs.  Nodes get ``ROWS * BANDS`` minima; nodes with
+exact copies never meet as pairs.  Nodes get ``HASHES`` minima; nodes with
 an equal band meet in a bucket.
 
 Verification (after Satuluri and Parthasarathy, 2012): within a bucket all pairs
@@ -21,8 +21,9 @@ row of the block at a time; only links come out, at most one for each pair of
 components and block.  So no survivor stays unconfirmed unless its ends are
 already linked.  Buckets are worked in blocks of ``BLOCK`` by ``BLOCK`` members.
 
-A pair at the threshold 0.85 meets in no band with chance 1e-5, and is pruned
-with chance at most ``MISS`` per batch.
+A band has as many rows, up to ``ROWS``, as let a pair at the threshold meet in no
+band with chance ``APART`` at most: 24 bands of 6 at 0.85 (1.2e-5), 28 of 5 at 0.80
+(1.5e-5).  Such a pair is pruned with chance at most ``MISS`` per batch.
 
 Null texts and texts without words have empty sets and link with nothing.
 """
@@ -41,7 +42,7 @@ from docweave.llm.common import LOWER, UPPER, batches_of, connected_components,
 SHINGLE, ROWS, BANDS = 5, 6, 24
 HASHES = ROWS * BANDS
 PERCENT = 85
-BATCH, MISS = 16, 1e-4
+BATCH, MISS, APART = 16, 1e-4, 2e-5
 NEAREST, BLOCK = 3, 1024
 BATCH_CHARS = 2_000_000
 CACHE_WORDS = 300_000
@@ -100,9 +101,17 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_rows(percent: int = PERCENT) -> int:
+    """Most rows of a band, up to ROWS, with which a pair at the threshold meets in no band with chance APART at most."""
+    s = percent / 100
+    return next((n for n in range(ROWS, 1, -1) if (1 - s**n) ** (HASHES // n) <= APART), 1)
+
+
+def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band of a signature."""
-    return _mix((values.astype(np.uint64).reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    bands = HASHES // rows
+    n = bands * rows
+    return _mix((values[:n].astype(np.uint64).reshape(bands, rows) * _BAND.ravel()[:n].reshape(bands, rows)).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def signature_bytes(values: np.ndarray) -> bytes:
@@ -122,7 +131,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
-def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, least: list[int], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs (left, right) of rows: those that survive all batches and have no lower band in common, with their matches."""
     matches = np.zeros(len(left), np.int32)
     for step, low in enumerate(least):
@@ -136,7 +145,7 @@ def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, l
         first = np.ones(len(left), bool)
         for lo in range(0, len(left), 100_000):
             a, b = left[lo : lo + 100_000], right[lo : lo + 100_000]
-            same = (sig[a, : band * ROWS] == sig[b, : band * ROWS]).reshape(len(a), band, ROWS).all(axis=2).any(axis=1)
+            same = (sig[a, : band * rows] == sig[b, : band * rows]).reshape(len(a), band, rows).all(axis=2).any(axis=1)
             first[lo : lo + 100_000] = ~same
         left, right, matches = left[first], right[first], matches[first]
     return left, right, matches
@@ -163,9 +172,10 @@ def nearest_pairs(left: np.ndarray, right: np.ndarray, matches: np.ndarray, k: i
     return np.unique(place[order[rank < k]])
 
 
-def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, digest (of the text), n_shingles, node (a digest of the set; null if empty), bands, sig of every row; no shuffle."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    in_band = band_rows(percent)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -180,7 +190,7 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 if len(s):
                     v = minima(s)
                     node.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(v).view(np.int64))
+                    bands.append(band_keys(v, in_band).view(np.int64))
                     sig.append(signature_bytes(v))
                 else:
                     node.append(None)
@@ -231,7 +241,7 @@ def _grouped(table, columns: list[str]) -> Iterator[tuple[int, list[int]]]:
 
 def _try_nearest(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, whole): pairs of nodes to confirm; whole is false for a bucket that had more."""
-    least = least_matches(percent)
+    least, in_band = least_matches(percent), band_rows(percent)
 
     def work(table):
         import pyarrow as pa
@@ -241,7 +251,7 @@ def _try_nearest(members: DataFrame, percent: int) -> DataFrame:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         for band, at in _grouped(table, ["band", "key", "i", "j"]):
             rows = np.array(at)
-            left, right, matches = survivors(sig[rows], *block_pairs(side[rows]), band, least)
+            left, right, matches = survivors(sig[rows], *block_pairs(side[rows]), band, least, in_band)
             if len(left):
                 for p in nearest_pairs(left, right, matches):
                     x, y = node[at[left[p]]], node[at[right[p]]]
@@ -260,7 +270,7 @@ def _dealt(rows: DataFrame):
 
 def _confirm_rest(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the members (with label and shingles) that join different labels of a block."""
-    least = least_matches(percent)
+    least, in_band = least_matches(percent), band_rows(percent)
 
     def work(table):
         import pyarrow as pa
@@ -275,7 +285,7 @@ def _confirm_rest(members: DataFrame, percent: int) -> DataFrame:
             group = np.array([names[label[i]] for i in at])
             left, right = block_pairs(side[rows])
             apart = group[left] != group[right]
-            left, right, _ = survivors(sig[rows], left[apart], right[apart], band, least)
+            left, right, _ = survivors(sig[rows], left[apart], right[apart], band, least, in_band)
             parent = list(range(len(names)))
 
             def root(x: int, parent: list[int] = parent) -> int:
@@ -314,7 +324,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     equal sets are one class; component_id is the least doc_id of all classes
     that links reach, kept says that the row has it.
     """
-    signed = materialize(sign(docs, doc_id, text), "signatures")
+    signed = materialize(sign(docs, doc_id, text, percent), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -348,9 +358,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one of each group; repeated rows are one."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = near_duplicates(docs, doc_id, text, percent).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = materialize(kept.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__t"), "n"), "kept")
     keyed = docs.withColumn("__digest", F.xxhash64(F.col(text)))
     out = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__t")), "left_semi")

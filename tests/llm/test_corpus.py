@@ -86,6 +86,30 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert all(a < b for a, b in zip(least, least[1:]))
 
 
+def test_pipeline_links_near_copies_at_eighty_percent(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(24 + i)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] + [word()] * (1 + i % 10)))]
+    sets = {i: _shingles(x) for i, x in rows}
+    share = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    assert sum(80 <= x < 85 for x in share.values()) >= 5 and any(70 < x < 80 for x in share.values())
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for percent, got in ((80, cp.near_dedup(spark, docs, "")), (85, md.keep_one(docs, percent=85))):
+        want = components(sets, [p for p, x in share.items() if x >= percent])
+        assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if want[i] == i), percent
+
+
+@pytest.mark.parametrize("percent, rows", [(80, 5), (85, 6), (95, 6)])
+def test_bands_miss_few_pairs_at_the_threshold(percent, rows):
+    assert md.band_rows(percent) == rows and len(md.band_keys(np.arange(md.HASHES, dtype=np.uint32), rows)) == md.HASHES // rows
+    assert (1 - (percent / 100) ** rows) ** (md.HASHES // rows) <= 2e-5
+
+
 def test_links_of_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
