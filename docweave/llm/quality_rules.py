@@ -38,14 +38,15 @@ PUNCTUATION = r"""[.,;:!?'"()\-]"""
 #: Fewest characters and words for a histogram to count, and the largest divergence of a kept document.
 MIN_CHARS, MIN_FORM_WORDS, MIN_WORDS = 200, 20, 100
 MAX_CLASS_JSD, MAX_FORM_JSD, MAX_WORD_JSD = 0.09, 0.1, 0.12
-#: Words with a symbol; else with a digit; else with two capitals and no small letter, which
-#: are looked for where a tenth of the letters are capitals.
+#: Words with a symbol; else with a digit; else with two capitals and no small letter.
 _S, _W = r"#*$%&|<>", r"\x20\x09-\x0D"
 FORMS = [
     rf"[^{_W}{_S}]*+[{_S}][^{_W}]*",
     rf"(?<![^{_W}])[^{_W}{_S}0-9]*+[0-9][^{_W}{_S}]*+(?![^{_W}])",
     rf"(?<![^{_W}])(?:[^{_W}{_S}0-9\p{{Ll}}\p{{Lu}}]*+\p{{Lu}}){{2}}[^{_W}{_S}0-9\p{{Ll}}]*+(?![^{_W}])",
 ]
+#: Two capitals of a word without a small letter between them: every word of the last form has them.
+TWO_CAPITALS = rf"\p{{Lu}}[^{_W}\p{{Ll}}\p{{Lu}}]*+\p{{Lu}}"
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -87,7 +88,7 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: st
     base = _once(base, upper=gone(r"\P{Lu}+"), letters=gone(r"\P{L}+"), digits=n - gone(r"[0-9]+"), symbols=n - F.length(F.translate("x", SYMBOLS, "")))
     upper, letters, digits, points = F.col("upper"), F.col("letters"), F.col("digits"), n - gone(PUNCTUATION + "+")
     # most texts have no word of these forms, and aren't searched for any
-    search = [F.col("symbols") > 0, digits > 0, (upper > 1) & (10 * upper >= letters)]
+    search = [F.col("symbols") > 0, digits > 0, (upper > 1) & F.col("x").rlike(TWO_CAPITALS)]
     forms = [long(F.when(c, F.regexp_count("x", F.lit(p))).otherwise(0)) for c, p in zip(search, FORMS, strict=True)]
     base = base.select(
         *[F.col(f"`k_{c}`").alias(c) for c in keep], F.col("f_lang").alias("ref_lang"),

@@ -61,6 +61,27 @@ def test_junk_goes_and_prose_stays(spark, sf):
     assert not bad or sum(r.kept for r in bad) <= 0.05 * len(bad)
 
 
+def test_capital_words_count_at_any_share(spark):
+    def count(text):
+        return sum(sum(c.isupper() for c in w) > 1 and not any(c.islower() or c in "#*$%&|<>0123456789" for c in w) for w in WORD.findall(text))
+
+    texts = ["plain words " * 30 + "NATO", "An I A b. " * 20 + "A.B. É-É O'Brien X1Y A#B McD aBC ABc", "\n".join(["planet"] * 78 + ["UN"] * 22), "A B", "ǅ ÀÉ", "ABC " * 30]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.forms[2] for r in quality_rules.text_features(docs, ["doc_id"]).collect()}
+    assert got == {i: count(x) for i, x in enumerate(texts)} and got[0] == 1 and got[2] == 22
+
+
+def test_capital_words_below_a_tenth_of_the_letters_reject(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    prose = [" ".join(word() for _ in range(200)) for _ in range(40)]
+    odd = " ".join("UN" if i % 25 in (0, 4, 8, 12, 16, 20) else word() for i in range(200))
+    docs = spark.createDataFrame([(i, x, "xx") for i, x in enumerate([*prose, odd])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, keep=["doc_id"]).collect()}
+    assert all(got[i].kept for i in range(40))
+    assert got[40].class_jsd <= quality_rules.MAX_CLASS_JSD and got[40].form_jsd > quality_rules.MAX_FORM_JSD and not got[40].kept
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     scores, moves, counts = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([4, 0, 1, 3, 1])
