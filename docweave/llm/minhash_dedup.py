@@ -203,8 +203,10 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the nodes in ``wanted`` (node, least: one of its doc_ids)."""
-    rows = docs.select(F.col(doc_id).alias("least"), F.col(text).alias("text")).where("text is not null").join(wanted.select("least").distinct(), "least", "left_semi").select("text")
+    """(node, shingles) of the nodes in ``wanted`` (node, least, digest: the doc_id, or null, and the text's digest of one of its rows)."""
+    one = wanted.select(F.col("least").alias("__least"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.select(F.col(doc_id).alias("least"), F.col(text).alias("text")).where("text is not null")
+    rows = rows.join(one, F.col("least").eqNullSafe(F.col("__least")) & (F.xxhash64("text") == F.col("__digest")), "left_semi").select("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -322,15 +324,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Links join documents with 100 * intersection >= percent * union.  Rows of
     equal sets are one class; component_id is the least doc_id of all classes
-    that links reach, kept says that the row has it.
+    that links reach, kept says that the row has it.  A group whose doc_ids are
+    all null has a null component_id; the rows of one of its texts are kept.
     """
     signed = materialize(sign(docs, doc_id, text, percent), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes, "nodes")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes.select("node", F.col("at.doc_id").alias("least"), F.col("at.digest").alias("digest"), "n", "bands", "sig"), "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
     members = materialize(banded.join(shared, ["band", "key"]), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "least", "digest"), "node")
     wanted = materialize(wanted, "wanted")
     sets = materialize(full_sets(docs, wanted, doc_id, text), "sets")
     with_sig = _blocks(members.join(nodes.select("node", "sig"), "node"))
@@ -349,13 +352,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = materialize(more, "links")
         links = links.unionByName(more)
         labels = materialize(connected_components(links), "labels")
-    joined = nodes.select("node", "least", "n").join(labels, "node", "left")
+    joined = nodes.select("node", "least", "digest", "n").join(labels, "node", "left")
     reached = joined.where("component is not null")
-    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = reached.join(least, "component").select("node", "component_id").unionByName(joined.where("component is null and n > 1").select("node", F.col("least").alias("component_id")))
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"))
+    named = reached.join(least, "component").select("node", "component_id", "first").unionByName(joined.where("component is null and n > 1").select("node", F.col("least").alias("component_id"), F.col("digest").alias("first")))
     out = signed.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # without any doc_id, the group's first text stays
+    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNotNull() | F.col("first").isNull() | (F.col("digest") == F.col("first")))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -86,6 +86,18 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert all(a < b for a, b in zip(least, least[1:]))
 
 
+def test_near_copies_without_doc_ids_are_linked(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, a.upper()), (7, b), (None, b + " more"), (None, c), (None, d), (None, d), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = md.keep_one(docs).collect()
+    texts = [r.text for r in got]
+    assert len(got) == 6 and sum((x or "").lower().startswith("a0") for x in texts) == 1
+    assert (7, b) in [tuple(r) for r in got] and b + " more" not in texts and texts.count(c) == texts.count(d) == texts.count(None) == texts.count("") == 1
+    out = md.near_duplicates(docs).collect()
+    assert len(out) == len(rows) and sorted(str(r.component_id) for r in out) == ["7"] * 2 + ["None"] * 8
+
+
 def test_pipeline_links_near_copies_at_eighty_percent(spark):
     import corpus_pipeline as cp
 
