@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,15 +34,19 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        where = tempfile.mkdtemp(prefix="docweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, local mode, in which driver and executors are one process, gets a folder that goes
+    with the process; a cluster must name one.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
         return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    where = tempfile.mkdtemp(prefix="docweave-checkpoint-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(where)
     return where
 
 
@@ -49,7 +56,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docweave/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables; for steps whose successors are written themselves."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def carried(columns: list[str], made: list[str]) -> dict[str, str]:
+    """The name of each carried column in a result that also has the made ones: its own, or with ``in_`` before it."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = c
+        while name.lower() in {x.lower() for x in made} or name.lower() in {x.lower() for x in out.values()} or (name != c and name.lower() in {x.lower() for x in columns}):
+            name = f"in_{name}"
+        out[c] = name
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -114,6 +143,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         new = materialize(small, "edges")
         # a forest of stars: no node is both a centre and a leaf, each leaf has one centre
         open_ends = new.select(F.col("lo").alias("n")).distinct().join(new.select(F.col("hi").alias("n")), "n", "left_semi").limit(1).count()
+        release(pairs)
         pairs = new
         if not open_ends and not new.groupBy("hi").count().where("count > 1").limit(1).count():
             break
