@@ -88,7 +88,7 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, text, n_chars of all pages."""
+    """page_id, url, text, n_lines, n_shared, n_chars of all pages."""
     from docweave.llm.html_extract import extract
 
     return extract(spread_table(spark, sf_dir, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))

@@ -120,21 +120,113 @@ def test_longest_common_subsequence():
         assert all(any(a[i] == y for y in it) for i in found)
 
 
-def test_pages_without_an_article_lose_shared_lines(spark):
-    body = "<body><div>Menu one</div><div>Welcome</div><div>{}</div><div>All rights</div></body>"
-    rows = [(i, f"http://h.com/a/{i}", body.format(f"Story {i} long enough to be most of what the page has to say to anyone"), "t") for i in range(5)]
-    rows += [(10, None, None, "t"), (11, "http://solo.com/", body.format("alone"), "t"), (12, "http://h.com/a/1", rows[1][2], "t"), (13, "http://h.com/b", "", "t")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = {r.page_id: r.text for r in hx.extract(pages, keep=["page_id", "url"]).collect()}
+def test_long_runs_of_equal_lines_align(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    cases = [([rng.randrange(3) for _ in range(rng.randrange(40))], [rng.randrange(3) for _ in range(rng.randrange(40))]) for _ in range(80)]
+    lengths = [len(hx.shared_lines(a, b)) for a, b in cases]
+    monkeypatch.setattr(hx, "MOST_PAIRS", 5)
+    for (a, b), n in zip(cases, lengths, strict=True):
+        found = sorted(hx.shared_lines(a, b))
+        it = iter(b)
+        assert len(found) == n and all(any(a[i] == y for y in it) for i in found)
+    monkeypatch.undo()
+    assert len(hx.shared_lines([1, 2] * 6000, [2, 1, 1] * 4000)) >= 8000
+
+
+def _extract(pages):
+    """Main texts by the plainest way: neighbours by sorting a host's paths, common lines by the textbook table; pages have id, url, html and its hash."""
+    rows = [(i, *plain(u)[:2], x or "") for i, u, x, _ in pages]
+    lines = {plain(u)[:2]: hx.read_lines(x or "") for _, u, x, _ in sorted(pages, key=lambda r: -r[3])}
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                yield i
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    def start(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    out = {}
+    for i, h, p, x in rows:
+        own = hx.read_lines(x)
+        paths = sorted(q for g, q in lines if g == h)
+        at = paths.index(p)
+        near = max([q for q in (paths[at - 1] if at else None, paths[at + 1] if at + 1 < len(paths) else None) if q is not None], key=lambda q: start(q, p), default=None)
+        there = [s for _, s in lines[h, p]]
+        template = [there[k] for k in common(there, [s for _, s in lines[h, near]])] if near is not None else []
+        shared = set(common([s for _, s in own], template))
+        texts = {k: s for k, (z, s) in enumerate(own) if z != hx.DROPPED}
+        has_main = any(z == hx.MAIN for z, _ in own)
+        alike = sum(len(s) for k, s in texts.items() if k in shared) > 0.8 * sum(map(len, texts.values()))
+        keep = [s for k, s in texts.items() if own[k][0] == hx.MAIN or ((not has_main or (shared and not alike)) and (alike or k not in shared))]
+        out[i] = " ".join(keep), len(shared)
+    return out
+
+
+def test_differencing_decides_outside_of_articles(spark):
+    from docweave.llm.common import materialize
+
+    story = "Story {} long enough to be most of what the page has to say to anyone"
+    body = "<body><div>Menu one</div><div>Welcome</div><div>" + story + "</div><div>All rights</div></body>"
+    part = "<body><div>Site {1}</div><div>Read on here</div><div class=ad>Ad {0}</div><main><p>Piece {0} of a text of its own that is long enough.</p><p>Licence line.</p></main><div>By author {0}</div><div>All rights</div></body>"
+    rows = [(i, f"http://h.com/a/{i}", body.format(i)) for i in range(5)]
+    rows += [(10, None, None), (11, "http://solo.com/", body.format("alone")), (12, "http://h.com/a/1", rows[1][2]), (13, "http://h.com/b", "")]
+    rows += [(20 + i, f"http://m.org/x{'y' * 300}{i}", part.format(i, "of M")) for i in range(6)] + [(30, "http://one.org/", part.format("z", "of one"))]
+    rows += [(40, "http://same.org/a", part.format(1, "s")), (41, "http://same.org/b", part.format(1, "s")), (42, "", "<p>no url"), (43, "nothing", "<p>none either")]
+    rows += [(100 + i, f"http://w.net/{i % 7}/{i % 5}", part.format(i, i % 2)) for i in range(40)]
+    got = {r.page_id: r for r in hx.extract(materialize(spark.createDataFrame([(i, u, x, "t") for i, u, x in rows], "page_id long, url string, html string, text string"), "pages")).collect()}
     for i in range(5):
-        assert got[i] == f"Story {i} long enough to be most of what the page has to say to anyone"
-    assert got[10] == "" and got[13] == "" and got[12] == got[1] and got[11] == "Menu one Welcome alone All rights"
-    assert hx.extract(pages.limit(0), keep=["page_id"]).count() == 0
+        assert got[i].text == story.format(i) and got[i].n_shared == 3
+    assert got[10].text == "" and got[13].text == "" and got[12].text == got[1].text and got[11].text == "Menu one Welcome " + story.format("alone") + " All rights"
+    for i in range(6):  # the article is whole, what is the site's goes, what is the page's stays
+        assert got[20 + i].text == f"Piece {i} of a text of its own that is long enough. Licence line. By author {i}" and got[20 + i].n_shared == 4
+    assert got[30].text == "Piece z of a text of its own that is long enough. Licence line."
+    assert got[40].text == got[41].text == "Piece 1 of a text of its own that is long enough. Licence line."
+    assert set(got[0].asDict()) == {"page_id", "url", "in_text", "text", "n_lines", "n_shared"} and got[0].in_text == "t"
+    for many in (1, 5, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", many)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            pages = spark.createDataFrame([r for r in rows if r[0] < 100], "page_id long, url string, html string").repartition(3)
+            spread = {r.page_id: (r.text, r.n_shared) for r in hx.extract(pages).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert spread == _extract([tuple(r) for r in pages.select("*", F.xxhash64("html")).collect()]), many
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert hx.extract(empty, keep=["page_id"]).count() == 0
 
 
 def test_every_page_has_its_article(spark, sf):
+    """The text between the article's tags, cut out by string operations, and the pairing of all pages by plain sorting."""
+    import html
+    import re
+
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    html = {r.page_id: r.html for r in pages.collect()}
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html", F.xxhash64("html")).collect()]
+    plainly = _extract(rows)
+    shared = 0
+    source = {i: x for i, _, x, _ in rows}
     for r in hx.extract(pages, keep=["page_id"]).collect():
-        want = " ".join(s for z, s in hx.read_lines(html[r.page_id]) if z == hx.MAIN)
-        assert r.text == want and r.text
+        inner = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", source[r.page_id]).split("<article", 1)[1].split(">", 1)[1].split("</article>")[0]
+        inner = re.sub(r"(?i)</?(b|i|a|em|strong|span|u|code|small)\b[^>]*>", "", inner)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert r.text == want and r.text, r.page_id
+        assert (r.text, r.n_shared) == plainly[r.page_id]
+        shared += r.n_shared
+    assert shared > 0
