@@ -19,7 +19,9 @@ whose pairs weren't all tried, and which still hold survivors in different
 components, get their members' sets and confirm all those pairs in place, one
 row of the block at a time; only links come out, at most one for each pair of
 components and block.  So no survivor stays unconfirmed unless its ends are
-already linked.  Buckets are worked in blocks of ``BLOCK`` by ``BLOCK`` members.
+already linked.  Buckets are worked in blocks of ``BLOCK`` by ``BLOCK`` members, and of
+``BLOCK_BYTES`` of full sets.  A bucket's nodes learn its size in ``SALTS`` parts, so
+that a large bucket is spread there too.
 
 A band has as many rows, up to ``ROWS``, as let a pair at the threshold meet in no
 band with chance ``APART`` at most: 24 bands of 6 at 0.85 (1.2e-5), 28 of 5 at 0.80
@@ -34,10 +36,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, UPPER, batches_of, connected_components, materialize, small_batches, tidy
+from docweave.llm.common import LOWER, UPPER, batches_of, connected_components, materialize, release, small_batches, tidy
 
 SHINGLE, ROWS, BANDS = 5, 6, 24
 HASHES = ROWS * BANDS
@@ -46,7 +48,10 @@ BATCH, MISS, APART = 16, 1e-4, 2e-5
 NEAREST, BLOCK = 3, 1024
 BATCH_CHARS = 2_000_000
 CACHE_WORDS = 300_000
-BUCKET_ROWS = 8192
+#: Rows, and bytes of full sets, that a task works on at once; a block's own are bounded alike.
+BUCKET_ROWS, BLOCK_BYTES = 8192, 32_000_000
+#: Parts in which a bucket's nodes meet its size.
+SALTS = 16
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.Generator(np.random.PCG64(20))
 _PLACE = _RNG.integers(0, 1 << 64, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -223,9 +228,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
     return found.dropDuplicates(["node"])
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, parts: Column | None = None) -> DataFrame:
     """Members (key, band, size, node, ...) dealt to the blocks of their bucket: columns i, j, side and a bucket of blocks."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int") if parts is None else parts
     rows = members.withColumn("parts", parts).withColumn("own", F.pmod(F.hash("node"), F.col("parts")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
@@ -264,10 +269,11 @@ def _try_nearest(members: DataFrame, percent: int) -> DataFrame:
     return _dealt(members).applyInArrow(work, "a binary, b binary").distinct()
 
 
-def _dealt(rows: DataFrame):
-    """Blocks in groups of about BUCKET_ROWS rows; small buckets share a group."""
-    n = rows.count()
-    return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, math.ceil(n / BUCKET_ROWS)))).alias("work"))
+def _dealt(rows: DataFrame, bytes_of: str | None = None):
+    """Blocks in groups of about BUCKET_ROWS rows, or BLOCK_BYTES by a column of sizes; small buckets share a group."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of or F.lit(0)).alias("size")).first()
+    groups = max(1, math.ceil(total.n / BUCKET_ROWS), math.ceil((total.size or 0) / BLOCK_BYTES))
+    return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("work"))
 
 
 def _confirm_rest(members: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +322,7 @@ def _confirm_rest(members: DataFrame, percent: int) -> DataFrame:
                         b.append(node[at[y]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return _dealt(members).applyInArrow(work, "a binary, b binary")
+    return _dealt(members, "bytes").applyInArrow(work, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -330,9 +336,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = materialize(sign(docs, doc_id, text, percent), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = materialize(nodes.select("node", F.col("at.doc_id").alias("least"), F.col("at.digest").alias("digest"), "n", "bands", "sig"), "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, ["band", "key"]), "members")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS)))
+    # at most SALTS rows of a bucket meet for its size, and at most one part of it goes to a task
+    parts = banded.groupBy("band", "key", "salt").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    shared = parts.groupBy("band", "key").agg(F.sum("n").cast("int").alias("size"), F.collect_list("salt").alias("salts")).where("size > 1").select("band", "key", "size", F.explode("salts").alias("salt"))
+    members = materialize(banded.join(shared, ["band", "key", "salt"]), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "least", "digest"), "node")
     wanted = materialize(wanted, "wanted")
     sets = materialize(full_sets(docs, wanted, doc_id, text), "sets")
@@ -342,16 +350,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     links = materialize(pairs.join(one, "a").join(two, "b").where(100 * common >= percent * union).select("a", "b"), "links")
+    release(pairs, wanted)
     # a bucket of up to NEAREST + 1 nodes has tried all its pairs
     labels = materialize(connected_components(links), "labels")
     large = members.where(F.col("size") > NEAREST + 1).join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = large.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").drop("mixed")
-    rest = materialize(_blocks(large.join(mixed, ["band", "key"], "left_semi")), "rest")
+    large = large.join(sets.select("node", (F.size("shingles").cast("long") * 8).alias("bytes")), "node")
+    mixed = large.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("mixed"), F.sum("bytes").alias("whole")).where("mixed")
+    mixed = mixed.select("band", "key", "whole", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rest = _blocks(large.join(mixed, ["band", "key", "salt"]), F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("whole") / BLOCK_BYTES))).cast("int"))
+    rest = materialize(rest.drop("whole"), "rest")
     if rest.limit(1).count():
         more = _confirm_rest(rest.join(nodes.select("node", "sig"), "node").join(sets, "node"), percent)
         more = materialize(more, "links")
         links = links.unionByName(more)
         labels = materialize(connected_components(links), "labels")
+    release(members, sets, rest)
     joined = nodes.select("node", "least", "digest", "n").join(labels, "node", "left")
     reached = joined.where("component is not null")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"), F.min("digest").alias("first"))
