@@ -28,14 +28,14 @@ SQL["op4_chat_windows"] = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n AS (SELECT *, length(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]+', 'x', 'g'), '\s+', '', 'g')) + 4 AS tokens,
-  length('<|turn|>') + length({_ESCAPED.format("role")}) + 1 + length({_ESCAPED.format("text")}) + length('<|end|>') AS chars,
+  length('<|turn|>') + length(replace({_ESCAPED.format("role")}, chr(10), '\n')) + 1 + length({_ESCAPED.format("text")}) + length('<|end|>') AS chars,
   row_number() OVER w AS ord FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens AS before,
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens AS before, max(tokens) OVER (PARTITION BY conv_id) AS longest,
   first(role) OVER (PARTITION BY conv_id ORDER BY ord) AS r1, first(tokens) OVER (PARTITION BY conv_id ORDER BY ord) AS t1, first(chars) OVER (PARTITION BY conv_id ORDER BY ord) AS c1 FROM n),
-d AS (SELECT *, greatest((2048 - 256 - CASE WHEN r1 = 'system' THEN t1 ELSE 0 END) // 2, 256) AS stride FROM s),
-v AS (SELECT *, before // stride AS win FROM d),
-h AS (SELECT conv_id, win + 1 AS win, sum(chars) AS chars FROM v WHERE before >= (win + 1) * stride - 256 AND NOT (ord = 1 AND role = 'system') GROUP BY ALL),
-own AS (SELECT conv_id, win, sum(chars) + max(CASE WHEN r1 = 'system' AND win > 0 THEN c1 ELSE 0 END) AS chars FROM v GROUP BY ALL),
+d AS (SELECT *, 2048 - 256 - CASE WHEN r1 = 'system' THEN t1 ELSE 0 END AS room FROM s),
+v AS (SELECT *, before // greatest(room - longest, room // 2, 256) AS win FROM d),
+own AS (SELECT conv_id, win, min(before) AS opens, sum(chars) + max(CASE WHEN r1 = 'system' AND win > 0 THEN c1 ELSE 0 END) AS chars FROM v GROUP BY ALL),
+h AS (SELECT own.conv_id, own.win, sum(v.chars) AS chars FROM own JOIN v ON own.conv_id IS NOT DISTINCT FROM v.conv_id AND v.before < own.opens AND own.opens - v.before <= 256 AND NOT (ord = 1 AND role = 'system') GROUP BY ALL),
 f AS (SELECT own.conv_id, sum(own.chars + coalesce(h.chars, 0)) AS formatted_chars FROM own LEFT JOIN h ON own.conv_id IS NOT DISTINCT FROM h.conv_id AND own.win = h.win GROUP BY ALL),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord) AS said,
   coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '') AS loss FROM n GROUP BY conv_id)

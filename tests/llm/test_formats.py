@@ -18,7 +18,7 @@ def test_escaping_is_reversible_and_leaves_no_control(spark):
 
 def _turns(spark):
     rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * (i * 7 % 40)) for i in range(1, 60)], (2, 0, None, None), (3, 0, "assistant", "x " * 5000), (3, 1, "assistant", "y")]
-    rows += [(4, i, "user" if i % 2 == 0 else "assistant", h) for i, h in enumerate(HOSTILE)] + [(None, None, "assistant", "lost"), (5, 0, "assistant", "same"), (5, 0, "assistant", "same")]
+    rows += [(4, i, "user" if i % 2 == 0 else "assistant", h) for i, h in enumerate(HOSTILE)] + [(None, None, "assistant", "lost"), (5, 0, "assistant", "same"), (5, 0, "assistant", "same"), (6, 0, "us\ner\\n<|end|>", "q"), (6, 1, "assistant", "\\n")]
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
@@ -38,6 +38,46 @@ def test_windows_hold_every_target_once(spark):
     assert all(not w.over_budget for w in first)
 
 
+def test_windows_equal_plain_python(spark):
+    """Spans, repeats and formatted texts by walking the turns of each conversation."""
+    import re
+
+    rows, turns = _turns(spark)
+    rows += [(7, i, r, "x " * n) for i, (r, n) in enumerate([("user", 20), ("assistant", 500), ("user", 10), ("assistant", 30), ("user", 3)])] + [(8, i, "system" if i in (0, 5) else "a\nb\\", "word " * 17) for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("w"))
+    budget, history = 300, 40
+    got = {(w.conv_id, w.window): w for w in cw.format_windows(turns, budget=budget, history=history).collect()}
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        sizes = [len(re.findall(cw.TOKEN, x)) + 4 for _, _, x in own]
+        before = [sum(sizes[:i]) for i in range(len(own))]
+        system = own[0][1] == "system"
+        room = budget - history - (sizes[0] if system else 0)
+        stride = int(max(room - max(sizes), room / 2, history))
+        for w in sorted({b // stride for b in before}):
+            mine = [i for i in range(len(own)) if before[i] // stride == w]
+            head = [0] if system and w > 0 else []
+            again = [i for i in range(mine[0]) if before[mine[0]] - before[i] <= history and not (i == 0 and system)]
+            want[conv, w] = (head + again + mine, len(mine), sum(sizes[i] for i in head + again + mine), own)
+    assert set(got) == set(want)
+    read = {(r.conv_id, r.window): r for r in cw.format_windows(turns, budget=budget, history=history).select("conv_id", "window", cw.read_turns(F.col("formatted")).alias("said")).collect()}
+    for key, (at, n_own, tokens, own) in want.items():
+        w = got[key]
+        assert [tuple(x) for x in read[key].said] == [own[i][1:] for i in at], key
+        assert (w.n_own, w.n_repeated, w.n_tokens, w.over_budget) == (n_own, len(at) - n_own, tokens, tokens > budget)
+    # a turn longer than the history isn't repeated, nor what came before it
+    assert [w.n_repeated for (c, k), w in sorted(got.items(), key=str) if c == 7 and k > 0] == [0]
+    assert sum(w.n_tokens for (c, _), w in got.items() if c == 1) > 0.7 * budget * (sum(c == 1 for c, _ in got) - 1)
+
+
+def test_a_very_long_conversation_is_read_back(spark):
+    turns = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "id").alias("text"))
+    windows = cw.format_windows(turns, budget=512, history=64)
+    said = windows.select("window", F.posexplode(cw.read_turns(cw.own_part(windows)))).orderBy("window", "pos").collect()
+    assert [r.col.text for r in said] == [f"turn {i}" for i in range(30_000)]
+
+
 def test_turns_are_read_back(spark, sf):
     got = {r.conv_id: r for r in op4_chat_windows(spark, sf).collect()}
     assert got[-1].loss_sha256 == hashlib.sha256(HOSTILE[0].encode()).hexdigest() and got[-1].loss_chars == len(HOSTILE[0]) and got[-1].n_turns == 2
