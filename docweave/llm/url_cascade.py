@@ -10,8 +10,9 @@ exact, and it needs no join: the levels are constants in the expression.
 
 Size: the first level is sized so that about as many false positives as listed
 keys remain, so all levels together take a few bits times log2(universe/list)
-per listed key.  That bound is checked: a list of more than ``MAX_KEYS`` keys of
-the corpus is looked up by a join of the distinct hosts instead.
+per listed key.  That bound is checked: constants of a plan can't hold more, so a
+list of more than ``MAX_KEYS`` keys of the corpus, rules or domains, is looked up by
+a join with the corpus' distinct keys instead.  Either way the answers are exact.
 
 Hosts and paths: the host stands behind the first ``://`` up to ``/``, ``?``,
 ``#`` or the end, A-Z in lower case; the path follows up to ``?``, ``#`` or the
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import lower_ascii, materialize
+from docweave.llm.common import carried, lower_ascii, materialize
 
 #: Bits of all levels together that may be sent with a query: 4 MB.
 MAX_FILTER_BITS = 1 << 25
@@ -49,14 +50,8 @@ class Level:
         if not any(self.words):
             return F.lit(False)
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        tests = [F.getbit(F.element_at(words, (at / 64).cast("int") + 1), (at % 64).cast("int")) == 1 for at in self._bits(key)]
-        found = tests[0]
-        for t in tests[1:]:
-            found = found & t
-        return found
-
-    def _bits(self, key: Column) -> list[Column]:
-        return [bit_of(key, self.number, k, self.bits) for k in range(HASHES)]
+        # the words stand in the plan once, not once for each bit; the first bit that is off ends the search
+        return F.forall(F.array(*[bit_of(key, self.number, k, self.bits) for k in range(HASHES)]), lambda at: F.getbit(F.element_at(words, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1)
 
 
 def bit_of(key: Column, level: int, k: int, bits: int) -> Column:
@@ -149,40 +144,55 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked_domains: list[str] |
     wins, of equal lengths the one with the longer host.  Without a rule, a url
     is blocked if its host or a domain above it is in ``blocked_domains``, a
     list or, for long ones, a table with a column ``key``.
-    Both lists are looked up in cascades over all keys that the corpus' urls
-    make.  Empty urls fit nothing and are allowed.
+    All lists are looked up in cascades over all keys that the corpus' urls
+    make: rules among the keys, allowing ones among the rules, and domains.
+    Empty urls fit nothing and are allowed; repeated rows all get their verdict.
+    A carried column named like a result's gets ``in_`` before its name.
     """
     spark = pages.sparkSession
-    keep = keep or list(pages.columns)
+    keep = list(pages.columns) if keep is None else keep
     host, path = split_url(F.col(url))
-    base = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("__host"), path.alias("__path"))
+    held = {c: f"k_{i}" for i, c in enumerate(keep)}
+    base = pages.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()], host.alias("__host"), path.alias("__path"))
     lengths = sorted({len(r) - r.index("/") for r in rules}) or [1]
-    distinct = materialize(base.select("__host", *[F.when(F.length("__path") >= n, F.substring("__path", 1, n)).alias(f"p{n}") for n in lengths]).distinct(), "url-keys")
-    longest = F.coalesce(*[F.col(f"p{n}") for n in reversed(lengths)], F.lit(""))
+    starts = [f"__p{n}" for n in lengths]
+    prefixes = [F.when(F.length("__path") >= n, F.substring("__path", 1, n)).alias(p) for n, p in zip(lengths, starts, strict=True)]
+    distinct = materialize(base.select("__host", *prefixes).distinct(), "url-keys")
+    longest = F.coalesce(*[F.col(p) for p in reversed(starts)], F.lit(""))
+
+    def finder(listed: DataFrame, universe: DataFrame) -> Cascade | None:
+        return build_cascade(listed, materialize(universe.distinct(), "universe"))
 
-    def finder(listed: DataFrame, keys: Column) -> Cascade | None:
-        universe = materialize(distinct.select(F.explode(keys).alias("key")).distinct(), "universe")
-        return build_cascade(listed, universe)
+    def best(fits: Column) -> Column:
+        # the keys stand in the order of their hosts' lengths: of equal lengths the first, with the longer host, wins
+        return F.aggregate(fits, F.lit(None).cast("string"), lambda best, k: F.when(best.isNull() | (F.length(k) > F.length(best)), k).otherwise(best))
 
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
-    by_rule = finder(frame(rules), rule_keys(F.col("__host"), longest, lengths))
-    if by_rule is None:
-        raise ValueError(f"over {MAX_KEYS} rules")
+    made = distinct.select(F.explode(rule_keys(F.col("__host"), longest, lengths)).alias("key"))
+    by_rule = finder(frame(rules), made)
+    listed_rules = frame(rules).join(made, "key", "left_semi")
+    allowing = finder(frame([k for k, v in rules.items() if v == "allow"]), listed_rules)
     domains = blocked_domains if isinstance(blocked_domains, DataFrame) else frame(blocked_domains)
     domains = domains.select(lower_ascii(F.col("key")).alias("key"))
-    by_domain = finder(domains, host_suffixes(F.col("__host")))
-    fits = F.filter(rule_keys(F.col("__host"), F.col("__path"), lengths), lambda k: by_rule.contains(k))
-    # the keys stand in the order of their hosts' lengths: of equal lengths the first, with the longer host, wins
-    rule = F.aggregate(fits, F.lit(None).cast("string"), lambda best, k: F.when(best.isNull() | (F.length(k) > F.length(best)), k).otherwise(best))
-    out = base.withColumn("__rule", rule)
-    said = F.lit(None).cast("string")
-    for k, v in rules.items():
-        said = F.when(F.col("__rule") == k, F.lit(v)).otherwise(said)
-    if by_domain is None:  # too long for constants: the distinct hosts meet the list
-        hosts = distinct.select(F.col("__host").alias("__h")).distinct().select("__h", F.explode(host_suffixes(F.col("__h"))).alias("key"))
-        listed = hosts.join(domains.distinct(), "key", "left_semi").select("__h").distinct().withColumn("__listed", F.lit(True))
-        out, domain = out.join(listed, F.col("__host") == F.col("__h"), "left"), F.coalesce("__listed", F.lit(False))
+    by_domain = finder(domains, distinct.select(F.explode(host_suffixes(F.col("__host"))).alias("key")))
+    if by_rule is None or allowing is None:  # too long for constants: the distinct keys meet the list
+        said = spark.createDataFrame(list(rules.items()), "key string, __said string")
+        hits = distinct.select("__host", *starts, F.posexplode(rule_keys(F.col("__host"), longest, lengths)).alias("pos", "key")).join(said, "key")
+        first = hits.groupBy("__host", *starts).agg(F.min_by(F.struct("key", "__said"), F.struct(-F.length("key"), "pos")).alias("__best"))
+        first = first.select(F.col("__host").alias("__h"), *[F.col(p).alias(f"{p}b") for p in starts], F.col("__best.key").alias("__rule"), (F.col("__best.__said") == "allow").alias("__allowed"))
+        same = F.col("__host") == F.col("__h")
+        for p in starts:
+            same &= F.col(p).eqNullSafe(F.col(f"{p}b"))
+        out = base.select("*", *prefixes).join(first, same, "left")
+    else:
+        out = base.withColumn("__rule", best(F.filter(rule_keys(F.col("__host"), F.col("__path"), lengths), lambda k: by_rule.contains(k))))
+        out = out.withColumn("__allowed", F.when(F.col("__rule").isNotNull(), allowing.contains(F.col("__rule"))))
+    if by_domain is None:
+        hosts = distinct.select(F.col("__host").alias("__d")).distinct().select("__d", F.explode(host_suffixes(F.col("__d"))).alias("key"))
+        listed = hosts.join(domains.distinct(), "key", "left_semi").select("__d").distinct().withColumn("__listed", F.lit(True))
+        out, domain = out.join(listed, F.col("__host") == F.col("__d"), "left"), F.coalesce("__listed", F.lit(False))
     else:
         domain = F.exists(host_suffixes(F.col("__host")), lambda h: by_domain.contains(h))
-    verdict = F.coalesce(said, F.when(domain, "block").otherwise("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
+    allow = F.coalesce(F.col("__allowed"), ~domain)
+    names = carried(keep, ["host", "path", "rule", "verdict"])
+    return out.select(*[F.col(k).alias(names[c]) for c, k in held.items()], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"))
