@@ -51,11 +51,11 @@ _LIST = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v
 
 
 def _jsd(p: str, q: str, n: int) -> str:
-    """Divergence of two lists of counts, base 2; null where either sums to nothing."""
+    """Jensen-Shannon distance of two lists of counts, base 2; null where either sums to nothing."""
     share = lambda a, i: f"({a}[{i}]::DOUBLE / list_sum({a}))"
     part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     terms = " + ".join(f"({part(share(p, i), share(q, i))} + {part(share(q, i), share(p, i))}) / 2" for i in range(1, n + 1))
-    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN {terms} END"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest({terms}, 0)) END"
 
 
 def _reference(source: str) -> str:
@@ -74,9 +74,9 @@ f AS (SELECT t.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(x, '[\x
   len(list_filter(w, lambda s: regexp_matches(s, '\p{{Lu}}[^\p{{Ll}}]*\p{{Lu}}') AND NOT regexp_matches(s, '[#*$%&|<>0-9]|\p{{Ll}}'))) AS s3, list_transform({_LIST}, lambda k: len(list_filter(w, lambda s: s = k))) AS hits FROM t LEFT JOIN rep ON t.r = rep.r),
 g AS (SELECT *, [c1, c2 - c1, c3, c4, c - word_chars, c - c2 - c3 - c4 - (c - word_chars)] AS classes, list_append(hits, n_words - list_sum(hits)::BIGINT) AS common, [s1, s2, s3, n_words - s1 - s2 - s3] AS forms, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 r1 AS ({_reference('g')}), j1 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('forms', 'rf', 4)} AS fj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r1 ON g.lang IS NOT DISTINCT FROM r1.lang),
-r2 AS ({_reference('(SELECT * FROM j1 WHERE cj <= 0.09 AND fj <= 0.1 AND coalesce(wj, 0) <= 0.12)')}), j2 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('forms', 'rf', 4)} AS fj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r2 ON g.lang IS NOT DISTINCT FROM r2.lang)
+r2 AS ({_reference('(SELECT * FROM j1 WHERE cj <= 0.3 AND fj <= sqrt(0.1) AND coalesce(wj, 0) <= sqrt(0.12))')}), j2 AS (SELECT g.*, {_jsd('classes', 'rc', 6)} AS cj, {_jsd('forms', 'rf', 4)} AS fj, {_jsd('common', 'rw', 19)} AS wj FROM g LEFT JOIN r2 ON g.lang IS NOT DISTINCT FROM r2.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce((c >= 200 AND cj > 0.09) OR (n_words >= 20 AND fj > 0.1) OR (n_words >= 100 AND wj > 0.12), false) AS kept FROM j2
+  NOT base_failed AND NOT coalesce((c >= 200 AND cj > 0.3) OR (n_words >= 20 AND fj > sqrt(0.1)) OR (n_words >= 100 AND wj > sqrt(0.12)), false) AS kept FROM j2
 """
 
 SQL["op6_embedding_dedup"] = """

@@ -4,7 +4,7 @@ Base rules count words, symbols, repeated lines and words of repeated 3-word
 windows.  The method then compares histograms of a document with those of its
 language: classes of characters, classes of words by the characters they hold
 (symbols, digits, capitals, none of these), and the language's most common words
-against all others.  A document is kept if the Jensen-Shannon divergences (base 2, 0 to
+against all others.  A document is kept if the Jensen-Shannon distances (base 2, 0 to
 1) stay under their limits; a histogram over too few characters or words says
 nothing and isn't held against a document.
 
@@ -21,10 +21,12 @@ without a shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import SPACES, materialize
+from docweave.llm.common import SPACES, carried, materialize
 
 SYMBOLS = "#*$%&|<>"
 #: Most common words of each language; fixed values.
@@ -35,9 +37,9 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "pas", "au"],
 }
 PUNCTUATION = r"""[.,;:!?'"()\-]"""
-#: Fewest characters and words for a histogram to count, and the largest divergence of a kept document.
+#: Fewest characters and words for a histogram to count, and the largest distance of a kept document.
 MIN_CHARS, MIN_FORM_WORDS, MIN_WORDS = 200, 20, 100
-MAX_CLASS_JSD, MAX_FORM_JSD, MAX_WORD_JSD = 0.09, 0.1, 0.12
+MAX_CLASS_JSD, MAX_FORM_JSD, MAX_WORD_JSD = 0.3, math.sqrt(0.1), math.sqrt(0.12)
 #: Words with a symbol; else with a digit; else with two capitals and no small letter.
 _S, _W = r"#*$%&|<>", r"\x20\x09-\x0D"
 FORMS = [
@@ -62,9 +64,9 @@ def words_of(text: Column) -> Column:
 
 
 def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """keep columns, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, forms, common."""
+    """keep columns (as k_0, k_1, ...), ref_lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, forms, common."""
     long = lambda c: c.cast("long")
-    base = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(lang).alias("f_lang"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)], F.col(lang).alias("f_lang"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     base = _once(base, w=words_of(F.col("x")))
     n = F.length("x")
     gone = lambda pattern: F.length(F.regexp_replace("x", pattern, ""))
@@ -91,7 +93,7 @@ def text_features(docs: DataFrame, keep: list[str], text: str = "text", lang: st
     search = [F.col("symbols") > 0, digits > 0, (upper > 1) & F.col("x").rlike(TWO_CAPITALS)]
     forms = [long(F.when(c, F.regexp_count("x", F.lit(p))).otherwise(0)) for c, p in zip(search, FORMS, strict=True)]
     base = base.select(
-        *[F.col(f"`k_{c}`").alias(c) for c in keep], F.col("f_lang").alias("ref_lang"),
+        *[f"k_{i}" for i in range(len(keep))], F.col("f_lang").alias("ref_lang"),
         long(F.size("w")).alias("n_words"), long(n - spaces).alias("word_chars"), long(F.col("symbols")).alias("n_symbols"),
         long(F.size("ln") - F.size(F.array_distinct("ln"))).alias("n_dup_lines"), long(F.when(F.col("places").isNull(), 0).otherwise(covered)).alias("n_repeat_words"),
         long(upper).alias("c_upper"), long(letters).alias("c_letters"), long(digits).alias("c_digits"), long(points).alias("c_points"), long(spaces).alias("c_spaces"), long(n).alias("c_all"),
@@ -115,12 +117,12 @@ def language_references(features: DataFrame) -> DataFrame:
 
 
 def jsd(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence of two arrays of counts, base 2; null if either sums to nothing."""
+    """Jensen-Shannon distance of two arrays of counts: the root of the divergence, base 2; null if either sums to nothing."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     share = lambda a: F.transform(a, lambda x: x / total(a))
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     terms = F.zip_with(share(p), share(q), lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.when((total(p) > 0) & (total(q) > 0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
 
 
 def compared(features: DataFrame, references: DataFrame) -> DataFrame:
@@ -133,9 +135,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     """keep columns, the counts, base_failed, the divergences, kept of each row.
 
     references: a table as of ``language_references``; by default it is made
-    from all the documents.
+    from all the documents.  A null language is one of its own, without a list of
+    common words.  A carried column named like a result's gets ``in_`` before it.
     """
-    keep = keep or [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
     features = materialize(text_features(docs, keep, text, lang), "quality-features")
     if references is None:
         first = materialize(language_references(features), "quality-references")
@@ -144,4 +147,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     joined = compared(features, references)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
     odd = ((chars >= MIN_CHARS) & (F.col("class_jsd") > MAX_CLASS_JSD)) | ((F.col("n_words") >= MIN_FORM_WORDS) & (F.col("form_jsd") > MAX_FORM_JSD)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_jsd") > MAX_WORD_JSD))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "form_jsd", "word_jsd", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "form_jsd", "word_jsd"]
+    names = carried(keep, [*made, "kept"])
+    return joined.select(*[F.col(f"k_{i}").alias(names[c]) for i, c in enumerate(keep)], *made, (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
