@@ -12,7 +12,7 @@ document and, after a first fit, takes lines of bad documents that look good as
 good (but leaves the worst of each document bad) and fits again.
 
 The model is fitted on at most ``MAX_TRAIN_DOCS`` labelled documents, chosen by a
-hash of doc_id; long ones are cut into pieces of ``TRAIN_LINES`` lines there.
+hash of doc_id, of ``MAX_TRAIN_CHARS`` characters in all; long ones are cut into pieces of ``TRAIN_LINES`` lines there.
 Scoring takes whole texts.  A text without lines has no bad part, so it gets the
 score of a share of 0.  Without labels of both kinds every score is 0.5.
 """
@@ -29,9 +29,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batches_of, small_batches, tidy
+from docweave.llm.common import batches_of, carried, small_batches, tidy
 
-MAX_TRAIN_DOCS = 4000
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 4000, 50_000_000
 TRAIN_LINES = 32
 BATCH_CHARS = 1_000_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -227,11 +227,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model | None:
     """A model from labelled documents that aren't held out.
 
-    The sample's ids and texts are bounded by ``max_docs``; the text join
-    sends those few ids to the documents.
+    The sample's ids are bounded by ``max_docs``, its texts by ``max_chars`` too:
+    texts come in the order of a hash until that many characters are there.  Of a
+    doc_id with several texts the least hash counts, of one with several labels
+    the least.  The text join sends those few ids to the documents.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
@@ -239,23 +241,39 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
         return None
     ids = docs.sparkSession.createDataFrame(sample, usable.schema)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = sorted(found.select("doc_id", "text", "quality").dropDuplicates(["doc_id"]).collect())
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("size"))).alias("own")).select("doc_id", "quality", "own.*").collect()
+    room, chosen = max_chars, []
+    for r in sorted(one, key=lambda r: (r.hash, r.doc_id)):
+        if r.size <= room:
+            room -= r.size
+            chosen.append(r.doc_id)
+    if not chosen:
+        return None
+    few = docs.sparkSession.createDataFrame([(d,) for d in chosen], docs.select("doc_id").schema)
+    rows = found.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [int(r.quality) for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """keep columns and score of every row; whole texts, no shuffle."""
-    keep = keep or [c for c in docs.columns if c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", score double"
+    """keep columns and score of every row; whole texts, no shuffle.
+
+    Null and empty texts get the score of a share of 0; a carried column named
+    score becomes in_score.
+    """
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    held = {c: f"k_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()], F.col(text).alias("__text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.drop("__text").schema) + "m_score double"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
+            texts = [x or "" for x in batch.column("__text").to_pylist()]
             scores = [s for part in batches_of(texts, BATCH_CHARS) for s in (model.scores(texts[part]) if model else [0.5] * (part.stop - part.start))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in held.values()), pa.array(scores, pa.float64())], names=[*held.values(), "m_score"])
 
     small_batches(docs.sparkSession)
-    return rows.mapInArrow(tidy(run), schema)
+    names = carried(keep, ["score"])
+    return rows.mapInArrow(tidy(run), schema).select(*[F.col(k).alias(names[c]) for c, k in held.items()], F.col("m_score").alias("score"))
