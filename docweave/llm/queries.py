@@ -14,22 +14,29 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import spread_table, table
 
-#: Where the vocabulary files of public tokenizers are; a parameter, nothing is copied.
-TOKENIZERS = os.environ.get("DOCWEAVE_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's vocabulary file is: in the folder DOCWEAVE_TOKENIZERS names, else in the installed package; nothing is copied."""
+    if folder := os.environ.get("DOCWEAVE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids: doc_id, ids, n_tokens, n_byte_ids, parity, round_trip."""
     from docweave.llm.sentencepiece_codec import encode_documents
 
-    return encode_documents(spread_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
+    return encode_documents(spread_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"])
 
 
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the written segments."""
     from docweave.llm.dac_codes import read_documents, write_segments
 
-    return read_documents(write_segments(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return read_documents(write_segments(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
 #: Rules of op7: domain and start of the path.

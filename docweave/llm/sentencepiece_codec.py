@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batches_of, small_batches, tidy
+from docweave.llm.common import batches_of, carried, small_batches, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -261,16 +261,21 @@ def codec_of(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, parity: bool = True) -> DataFrame:
-    """The rows' ``keep`` columns, and ids array<int>, n_tokens, n_bytes_ids, parity, round_trip.
+    """The rows' ``keep`` columns, and ids array<int>, n_tokens, n_byte_ids, parity, round_trip.
+
+    A null text counts as empty and has no ids; repeated rows all get theirs; a
+    carried column named like a result's gets ``in_`` before its name.
 
     parity: the ids equal those of the sentencepiece library (null if not asked
     for); see ``Codec.parity``.  round_trip: decoding gives the text again.  No shuffle; a batch of
     texts at a time is held.
     """
-    keep = keep or [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
     made = "ids array<int>, n_tokens long, n_byte_ids long, parity boolean, round_trip boolean"
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*[F.col(f"`{c}`") for c in keep]).schema), made])
+    results = [x.split()[0] for x in made.split(", ")]
+    held = {c: f"k_{i}" for i, c in enumerate(keep)}
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.drop("__text").schema), made])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -288,10 +293,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 arrays = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array([len(a) for a in ids], pa.int64()), pa.array([int(is_byte[a].sum()) for a in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", "n_tokens", "n_byte_ids", "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*held.values(), *results])
 
     small_batches(docs.sparkSession)
-    return source.mapInArrow(tidy(run), schema)
+    names = carried(keep, results)
+    return source.mapInArrow(tidy(run), schema).select(*[F.col(k).alias(names[c]) for c, k in held.items()], *results)
 
 
 def decode_ids(frame: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -108,7 +108,8 @@ def test_urls_are_judged_as_plainly(spark):
         "http://spam-farm.example.org/en/1", "http://a.spam-farm.example.org", "http://notspam-farm.example.org/", "ftp://u:p@h:8/x://y", "http://É.com/ü", "http://x..com/", "a\n://b.com/\nx", "http://x.net?y/es/",
     ]
     pages = spark.createDataFrame([(i, u, "v", "r") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, verdict string, host string")
-    for r in uc.judge(pages, URL_RULES, BLOCKED_DOMAINS, keep=["page_id"]).collect():
+    for r in uc.judge(pages, URL_RULES, BLOCKED_DOMAINS).collect():
+        assert (r.in_verdict, r.in_host) == ("v", "r")
         assert (r.host, r.path, r.rule, r.verdict) == plain(urls[r.page_id % len(urls)]), urls[r.page_id % len(urls)]
     assert uc.judge(pages.limit(0), URL_RULES, BLOCKED_DOMAINS, keep=["page_id"]).count() == 0
 
@@ -122,12 +123,34 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert wrong.count() == 0
 
 
-def test_a_list_too_long_for_constants_is_joined(spark, monkeypatch):
-    monkeypatch.setattr(uc, "MAX_KEYS", 2)
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.k1/x", "http://k2/", "http://k3.a/", None, "http://K3/"])], "page_id long, url string")
+def test_lists_too_long_for_constants_are_joined(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    urls = [None, "", "http://a.k1/x", "http://k2/", "http://k3.a/", "http://K3/", *(f"http://{rng.choice('abc')}.{rng.choice('de')}.k{rng.randrange(4)}/{rng.choice(['', 'p', 'p/q', 'pq/', 'z'])}" for _ in range(200))]
+    rules = {f"{h}k{k}/{p}": rng.choice(["allow", "block"]) for h in ("", "d.", "a.d.") for k in range(3) for p in ("", "p", "pq/", "p/q")}
     listed = spark.createDataFrame([("k1",), ("k2",), ("K3",), ("k9",)], "key string")
-    got = uc.judge(pages, {"k9/": "allow"}, listed, keep=["page_id"]).orderBy("page_id").collect()
-    assert [r.verdict for r in got] == ["block", "block", "allow", "allow", "block"]
+    pages = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, verdict int")
+    in_cascades = uc.judge(pages, rules, listed).orderBy("page_id").collect()
+    monkeypatch.setattr(uc, "MAX_KEYS", 2)
+    joined = uc.judge(pages, rules, listed).orderBy("page_id").collect()
+    assert in_cascades == joined and len(joined) == len(urls)
+    for r, u in zip(joined, urls, strict=True):
+        host, path, _, _ = plain(u)
+        fits = [k for k in rules if (host == (h := k[: k.index("/")]) or host.endswith("." + h)) and path.startswith(k[k.index("/") :])]
+        rule = max(fits, key=lambda k: (len(k), k.index("/")), default=None)
+        want = rules[rule] if rule else "block" if any(host == d or host.endswith("." + d) for d in ("k1", "k2", "k3", "k9")) else "allow"
+        assert (r.host, r.path, r.rule, r.verdict, r.in_verdict) == (host, path, rule, want, 5), u
+
+
+def test_thousands_of_rules_fit_a_plan(spark):
+    rules = {f"h{i}.org/{'x' * (i % 3)}": "allow" if i % 2 else "block" for i in range(4000)}
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.org/{'x' * (i % 4)}") for i in range(0, 5000, 7)], "page_id long, url string")
+    for r in uc.judge(pages, rules, ["h4900.org"]).collect():
+        i = r.page_id
+        fits = i < 4000 and i % 4 >= i % 3
+        assert r.rule == (f"h{i}.org/{'x' * (i % 3)}" if fits else None)
+        assert r.verdict == (("allow" if i % 2 else "block") if fits else "block" if i == 4900 else "allow")
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div>

@@ -6,14 +6,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docweave.llm import dac_codes, sentencepiece_codec as sp
-from docweave.llm.queries import TOKENIZERS
+from docweave.llm.queries import tokenizer_file
 
 ODD = ["", " ", "  a", "a  b   c ", "x\n\n y", "日本語 🎉 \x00", "<s> </s> <0x41>", "é́ü ß", "\t x\r\n", "a" * 3000, "€ a €b", "<|ENDOFTEXT|> <|endoftext|>. x", "it's 'S ÀÉ.\xa0x, İ. ﬁ."]
 
 
 @pytest.fixture(scope="module")
 def codec():
-    return sp.Codec(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sp.Codec(tokenizer_file("piece_bpe_32k.model"))
 
 
 def test_ids_equal_the_librarys(codec):
@@ -26,7 +26,7 @@ def test_ids_equal_the_librarys(codec):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab é\n .,▁日"), max_size=40), max_size=5))
 def test_any_text_is_at_parity(texts):
-    codec = sp.codec_of(f"{TOKENIZERS}/piece_bpe_32k.model")
+    codec = sp.codec_of(tokenizer_file("piece_bpe_32k.model"))
     assert [x.tolist() for x in codec.encode(texts)] == codec.reference(texts)
 
 
@@ -53,12 +53,13 @@ def test_unigram_model_with_scores_and_bytes(tmp_path):
 
 def test_documents_with_nulls_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "ab cd", 5), (None, None, 6), (1, "ab cd", 5), (2, "", 7)], "doc_id long, text string, ids int")
-    rows = sp.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"]).collect()
+    rows = sp.encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert sorted(r.in_ids for r in rows) == [5, 5, 6, 7]
     assert sorted((r.doc_id or -1, r.n_tokens) for r in rows) == [(-1, 0), (1, 2), (1, 2), (2, 0)] or len(rows) == 4
     assert all(r.parity and r.round_trip for r in rows)
-    back = sp.decode_ids(sp.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"]), f"{TOKENIZERS}/piece_bpe_32k.model").collect()
+    back = sp.decode_ids(sp.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"]), tokenizer_file("piece_bpe_32k.model")).collect()
     assert sorted(r.decoded for r in back) == ["", "", "ab cd", "ab cd"]
-    assert sp.encode_documents(docs.limit(0), f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"]).count() == 0
+    assert sp.encode_documents(docs.limit(0), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"]).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
@@ -73,7 +74,7 @@ def test_codes_give_any_id(ids):
 
 
 def test_words_are_encoded_as_whole_texts_are():
-    enc = dac_codes.encoder_of(f"{TOKENIZERS}/word_bpe_49k.json")
+    enc = dac_codes.encoder_of(tokenizer_file("word_bpe_49k.json"))
     for x, raw in zip(ODD, enc.encode(ODD), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
@@ -84,11 +85,11 @@ def test_segments_read_back(spark):
     texts = {3: "b c", 1: "a, a", 2: None, 9: "", 5: "x" * 500}
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()] + [(1, "a, a", 1)], "doc_id long, text string, start int")
     for size in (1_000_000, 3):
-        got = dac_codes.read_documents(dac_codes.write_segments(docs, f"{TOKENIZERS}/word_bpe_49k.json", segment_ids=size)).orderBy("start").collect()
+        got = dac_codes.read_documents(dac_codes.write_segments(docs, tokenizer_file("word_bpe_49k.json"), segment_ids=size)).orderBy("start").collect()
         assert [r.doc_id for r in got] == [1, 1, 2, 3, 5, 9]
-        enc, at = dac_codes.encoder_of(f"{TOKENIZERS}/word_bpe_49k.json").tokenizer, 0
+        enc, at = dac_codes.encoder_of(tokenizer_file("word_bpe_49k.json")).tokenizer, 0
         for r in got:
             ids = np.array([*enc.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
             assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
             at += len(ids)
-    assert dac_codes.read_documents(dac_codes.write_segments(docs.limit(0), f"{TOKENIZERS}/word_bpe_49k.json")).count() == 0
+    assert dac_codes.read_documents(dac_codes.write_segments(docs.limit(0), tokenizer_file("word_bpe_49k.json"))).count() == 0
