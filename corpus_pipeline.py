@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import line_crf, minhash_dedup, mixture, quality_rules, sentencepiece_codec
 from docweave.llm.common import materialize, table
-from docweave.llm.queries import TOKENIZERS
+from docweave.llm.queries import tokenizer_file
 
 #: Least similarity of near duplicates in the pipeline, in percent; op5_minhash_dedup has its own.
 NEAR_PERCENT = 80
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every row."""
-    return sentencepiece_codec.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id", "lang", "source"])
+    return sentencepiece_codec.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
 
 
 STAGES = [
