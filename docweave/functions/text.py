@@ -202,20 +202,30 @@ def uppercase_ratio(c: Column) -> Column:
 TEXT_KEYS = ("name", "title", "value", "normalized_value", "keyword", "action", "text", "label")
 
 
-def flatten_text(value: Column, depth: int = 3, keys: tuple[str, ...] = TEXT_KEYS) -> Column:
-    """The texts in a JSON value, in order: of lists all items, of objects what their keys hold, down to ``depth``."""
+def flatten_text(value: Column, keys: tuple[str, ...] = TEXT_KEYS) -> Column:
+    """The texts in a JSON value, in order: of lists all items, of objects what their keys hold, at any depth.
 
-    def plain(j: Column) -> Column:
-        text = F.regexp_replace(j, '^"|"$', "")
-        return F.when(j.isNull() | text.isin("", "null"), F.array().cast("array<string>")).otherwise(F.array(text))
+    A text that looks like JSON but isn't stays as it is.
+    """
 
     def texts(j: Column) -> Column:
-        below = (lambda x: flatten_text(x, depth - 1, keys)) if depth else plain
-        items = F.flatten(F.transform(F.filter(F.from_json(j, "array<string>"), lambda x: x.isNotNull()), below))
-        held = let(F.from_json(j, "map<string,string>"), lambda m: F.filter(F.array(*[F.get(F.filter(F.map_values(F.map_filter(m, _is_key(k0))), lambda v: v.isNotNull()), F.lit(0)) for k0 in keys]), lambda x: x.isNotNull()))
-        return F.when(j.rlike(r"^\s*\["), items).when(j.rlike(r"^\s*\{"), F.flatten(F.transform(held, below))).otherwise(plain(j))
-
-    return let(value, texts)
+        return F.transform(j, lambda x: F.struct(x.alias("j"), F.lit(False).alias("done")))
+
+    def opened(x: Column) -> Column:
+        """One value as those it holds; a plain one as itself, done."""
+        items = F.from_json(x["j"], "array<string>")
+        held = let(F.from_json(x["j"], "map<string,string>"), lambda m: F.when(m.isNotNull(), F.array(*[F.get(F.map_values(F.map_filter(m, _is_key(k0))), F.lit(0)) for k0 in keys])))
+        plain = F.array(F.struct(F.regexp_replace(x["j"], '^"|"$', "").alias("j"), F.lit(True).alias("done")))
+        inner = F.when(x["j"].rlike(r"^\s*\["), items).when(x["j"].rlike(r"^\s*\{"), held)
+        return let(inner, lambda i: F.when(i.isNotNull(), texts(F.filter(i, lambda v: v.isNotNull()))).otherwise(plain))
+
+    def open_all(state: Column, _: Column) -> Column:
+        return F.when(F.exists(state, lambda x: ~x["done"]), F.flatten(F.transform(state, lambda x: F.when(x["done"], F.array(x)).otherwise(opened(x))))).otherwise(state)
+
+    # no value lies deeper than there are opening brackets
+    depth = F.sequence(F.lit(0), F.length(F.regexp_replace(value, r"[^\[{]+", "")))
+    found = F.transform(F.aggregate(depth, texts(F.array(value)), open_all), lambda x: x["j"])
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.filter(found, lambda t: ~t.isin("", "null")))
 
 
 def _is_key(want: str):

@@ -7,6 +7,8 @@ header), the place of the first header decides, so no state is carried along.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ GOVERNMENT_FRAGMENTS = [
     "phuc thin", "phuc thina", "tien duong", "dong anh",
 ]
 BANK_WORDS = ["ngan hang", "nong nghiep", "phat trien", "nong thon", "viet nam", "ba dinh", "ha noi"]
+#: The date of a stamp, and what seals leave at the end of a line.
 STAMP_DATE = r"(?iu)^\s*(?:ngày|ngay)\s*[:.]?\s*(?:[A-ZĐ]\s*[.:]?\s*)?(\d{1,2})\s*(?:tháng|thang|/|-)\s*(\d{1,2})\s*(?:năm|nam|/|-)\s*(\d{2,4})\s*[.,;:]?\s*(.*)$"
 SUFFIXES = [
     r"(?iu)\s+(?:Q|[*.=•]+)\s*$",
@@ -107,14 +110,20 @@ def _noise_reason(line: Column, norm: Column, n: Column, index: Column) -> Colum
     )
 
 
-def strip_suffixes(line: Column, rounds: int = 3) -> Column:
-    """C14: stamp remains at the end of a line, removed again and again."""
-    out, some = line, F.lit(False)
-    for p in SUFFIXES * rounds:
-        out = F.regexp_replace(out, p.replace("\\s+", r"[ .,:;-]*\s+[ .,:;-]*", 1), "")
-    for p in SUFFIXES:
-        some = some | line.rlike(p)
-    return F.when(some, collapse(strip_edges(out))).otherwise(collapse(line))
+def strip_suffixes(line: Column) -> Column:
+    """C14: stamp remains at the end of a line, removed until none of the patterns finds another."""
+
+    def without(out: Column, pattern: str) -> Column:
+        return let(out, lambda o: let(F.regexp_replace(o, pattern, ""), lambda u: F.when(u != o, strip_edges(u)).otherwise(o)))
+
+    def once_more(acc: Column, _: Column) -> Column:
+        stripped = let(reduce(without, SUFFIXES, acc["s"]), lambda u: F.struct(u.alias("s"), (u != acc["s"]).alias("more")))
+        return F.when(acc["more"], stripped).otherwise(acc)
+
+    some = reduce(lambda found, p: found | line.rlike(p), SUFFIXES, F.lit(False))
+    # each round takes two characters at least: the first that takes none ends the work
+    rounds = F.sequence(F.lit(1), F.floor(F.length(line) / 2).cast("int") + 1)
+    return F.when(some, collapse(F.aggregate(rounds, F.struct(line.alias("s"), F.lit(True).alias("more")), once_more)["s"])).otherwise(collapse(line))
 
 
 def clean_documents(docs: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:

@@ -65,7 +65,7 @@ def payload_fields(answers: DataFrame, keys: list[str], answer: str = "answer")
 
 def budget_lines(lines: Column, head: int, budget: int, words: list[str] = SNIPPET_WORDS) -> Column:
     """The first lines and those with a word, while what is taken so far is under the budget; each once, cut."""
-    rest = F.filter(F.slice(lines, head + 1, F.lit(1 << 20)), lambda s: normalize_rules(s).rlike("|".join(words)))
+    rest = F.filter(F.slice(lines, F.lit(head + 1), F.greatest(F.size(lines), F.lit(0))), lambda s: normalize_rules(s).rlike("|".join(words)))
     start = F.struct(F.array_join(F.slice(lines, 1, head), "\n").alias("x"), F.slice(lines, 1, head).alias("a"))
 
     def take(acc: Column, s: Column) -> Column:
@@ -89,7 +89,7 @@ def fallback_text(lines: Column, evidence: Column) -> Column:
 def tiebreaker_text(lines: Column, budget: int = 3500) -> Column:
     """Half of the budget from the top, the rest from later lines with a word."""
     top = F.left(F.array_join(lines, "\n"), F.lit(budget // 2))
-    tail = F.filter(F.slice(lines, 31, F.lit(1 << 20)), lambda s: normalize_rules(s).rlike("|".join(SNIPPET_WORDS)))
+    tail = F.filter(F.slice(lines, F.lit(31), F.greatest(F.size(lines), F.lit(0))), lambda s: normalize_rules(s).rlike("|".join(SNIPPET_WORDS)))
     return F.left(F.concat_ws("\n", top, F.array_join(tail, "\n")), F.lit(budget))
 
 

@@ -98,7 +98,11 @@ SELECT o_orderkey AS doc_id, true AS use_llm, CASE WHEN o_orderkey % 5 = 0 AND o
   WHEN o_orderkey % 2 = 1 THEN 'missing_issuer' ELSE 'missing_submitted_value' END AS llm_reason FROM orders"""
 SQL["q_json_recover"] = "SELECT event_id, event_id % 3 <> 2 AND json_valid(props) AND json_type(props) = 'OBJECT' AND props <> '{}' AS found FROM events"
 SQL["q_events_props"] = "SELECT k, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || k)) AS n_values FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY k"
-SQL["q_snippet_budget"] = f"SELECT doc_id, count(*) AS n_lines, max(used)::BIGINT AS used FROM (SELECT doc_id, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM {_LINES}) WHERE used <= 5000 GROUP BY doc_id"
+SQL["q_snippet_budget"] = rf"""
+WITH n AS (SELECT doc_id, pos, line, {_RULES} AS norm FROM {_LINES}), w AS (SELECT * FROM n WHERE pos < 10 OR regexp_matches(norm, 'the|que')),
+t AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS used FROM w),
+u AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pos) AS r FROM t WHERE (pos < 10 OR used < 2000) AND norm <> '')
+SELECT d.doc_id, left(coalesce(s, ''), 2000) AS snippet FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS s FROM u WHERE r = 1 GROUP BY doc_id) x ON d.doc_id = x.doc_id WHERE text IS NOT NULL"""
 SQL["q_fingerprint"] = "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS same FROM orders"
 _PARTS = "SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS text FROM part"
 _GRAMS = """SELECT id, substr(w, i, n) AS gram FROM (SELECT id, ' ' || unnest(string_split(norm, ' ')) || ' ' AS w FROM {src}) , (SELECT unnest([2, 3, 4, 5]) AS n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i)"""
@@ -131,7 +135,7 @@ g4 AS (SELECT g3.doc_id, members || ',' || h.b AS members FROM g3 JOIN h ON g3.d
 SELECT doc_id, seg_id AS members, 1::BIGINT AS n FROM s UNION ALL SELECT doc_id, members, 2 FROM g2 UNION ALL SELECT doc_id, members, 3 FROM g3 UNION ALL SELECT doc_id, members, 4 FROM g4"""
 SQL["q_nearest_segments"] = f"""
 SELECT doc_id, at_id, seg_id, rank FROM (SELECT b.doc_id, a.seg_id AS at_id, b.seg_id, row_number() OVER (PARTITION BY a.doc_id, a.seg_id ORDER BY abs(a.ord - b.ord), b.ord) AS rank
-  FROM {_SEG} a JOIN {_SEG} b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.ord = 20 * (a.page - 1)) WHERE rank <= 6"""
+  FROM {_SEG} a JOIN {_SEG} b ON a.doc_id = b.doc_id AND a.page = b.page ) WHERE rank <= 6"""
 SQL["q_box_union"] = f"SELECT doc_id, page::INT AS page, round(min(x), 6)::DOUBLE AS x, round(min(y), 6)::DOUBLE AS y, round(max(x) + 0.3 - min(x), 6)::DOUBLE AS width, round(max(y) + 0.03 - min(y), 6)::DOUBLE AS height FROM {_SEG} GROUP BY doc_id, page"
 SQL["q_words_to_lines"] = """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, line FROM (SELECT doc_id, i // 9 AS k, string_agg(w, ' ' ORDER BY i) AS line FROM
@@ -147,7 +151,16 @@ SELECT doc_id, CASE WHEN n_short > 0 THEN 'short_pages' WHEN doc_id % 5 < 2 THEN
   (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) < 20)) AS n_short FROM documents)"""
 SQL["q_canary"] = "SELECT o_orderkey AS doc_id, ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10000 < 1000 AS selected FROM orders"
 SQL["q_fallback_rate"] = """
-SELECT event_id, count(*) OVER w AS n, coalesce(sum((event_type = 'error')::INT) OVER w, 0)::BIGINT AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
+WITH c AS (SELECT event_id, user_id, ts, count(*) OVER w AS n, coalesce(sum((event_type = 'error')::INT) OVER w, 0)::BIGINT AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, n >= 5 AND failed / n >= 0.2 AS high FROM c)
+SELECT event_id, n, failed, high AND sum(high::INT) OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS alert FROM o"""
+SQL["q_breaker"] = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN 503 ELSE 200 END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT event_id, user_id, i, (status = 503)::INT AS failures, 'closed' AS state, NULL::TIMESTAMP AS until FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN s.until > e.ts THEN s.failures WHEN status = 200 THEN 0 ELSE s.failures + 1 END, CASE WHEN s.until > e.ts THEN 'open' ELSE 'closed' END,
+  CASE WHEN s.until > e.ts THEN s.until WHEN status = 503 AND s.failures >= 1 THEN e.ts + INTERVAL 300 SECOND END FROM s JOIN e ON s.user_id = e.user_id AND e.i = s.i + 1)
+SELECT event_id, failures, state FROM s"""
+SQL["q_box_greedy"] = f"SELECT doc_id, 'field_' || page AS field_key, 1.0::DOUBLE AS score, page::INT AS page, seg_id AS segment_ids FROM {_SEG} WHERE ord = 20 * (page - 1)"
 SQL["q_latest_revision"] = "SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS revision, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'enriching' END AS status FROM orders"
 SQL["q_stream_window"] = "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS hour, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS failed FROM events GROUP BY hour"
 SQL["q_media_type"] = """

@@ -317,9 +317,9 @@ def q_events_props(spark, sf):
 
 @query
 def q_snippet_budget(spark, sf):
-    """J6 over rows: how many lines fit a budget of characters."""
-    lines = q_lines(spark, sf).withColumn("used", F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos")))
-    return lines.where(F.col("used") <= 5000).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("used").alias("used"))
+    """The first lines and those with a word, within a budget of characters."""
+    d = T.once(table(spark, sf, "documents").select("doc_id", "text"), ln=T.lines_of(F.col("text")))
+    return d.select("doc_id", jsonops.budget_lines(F.col("ln"), 10, 2000, ["the", "que"]).alias("snippet"))
 
 
 @query
@@ -378,15 +378,21 @@ def q_top3(spark, sf):
 
 @query
 def q_contains_join(spark, sf):
-    """F15's exact tier: benchmark items inside documents, by a token of the item and then containment."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    rare = F.array_max(F.transform(F.split("item", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    cand = b.withColumn("w", rare)
-    # an item's last word may stand before a mark or another letter in a text: the longest inner word can't
+    """F15's exact tier: benchmark items inside documents, by a word of the item and then containment.
+
+    An item's first and last word may stand within longer words of a text, an
+    inner one can't: the longest inner word is the key.  Items without one, of one
+    or two words, meet all texts.
+    """
     inner = F.slice(F.split("item", r"\s+"), F.lit(2), F.greatest(F.size(F.split("item", r"\s+")) - 2, F.lit(0)))
-    cand = cand.withColumn("w", F.coalesce(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.col("w")))
-    return d.join(F.broadcast(cand), "w").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")).where("item is not null")
+    items = items.withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = items.where("w is not null")
+    # texts move only where they hold a key
+    keyed = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(words, "w")
+    both = keyed.select("doc_id", "text", "item_id", "item").unionByName(d.join(items.where("w is null"), F.lit(True)).select("doc_id", "text", "item_id", "item"))
+    return both.where(layout.contains_score(F.col("item"), F.col("text")) >= 0.82).select("doc_id", "item_id")
 
 
 @query
@@ -401,7 +407,7 @@ def q_rare_tokens(spark, sf):
     df = q_posting_df(spark, sf)
     n = table(spark, sf, "documents").agg(F.greatest(F.lit(12), F.floor(F.count(F.lit(1)) / 8)).alias("most"))
     items = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(T.normalize_layout(F.col("text")), " "))).alias("token"))
-    found = items.join(df, "token").join(F.broadcast(n), F.col("df") <= F.col("most"))
+    found = items.join(df, "token").join(n, F.col("df") <= F.col("most"))
     return found.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "token")).cast("long")).where("r <= 4").select("item_id", "token", "df", "r")
 
 
@@ -417,8 +423,7 @@ def q_segment_groups(spark, sf):
 @query
 def q_nearest_segments(spark, sf):
     s = segments(spark, sf)
-    at = s.groupBy("doc_id", "page").agg(F.min_by("seg_id", "ord").alias("seg_id")).select("doc_id", "seg_id")
-    return layout.nearest_segments(s, at).select("doc_id", "at_id", "seg_id", F.col("rank").cast("long").alias("rank"))
+    return layout.nearest_segments(s, s.select("doc_id", "seg_id")).select("doc_id", "at_id", "seg_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -484,7 +489,7 @@ def q_canary(spark, sf):
 @query
 def q_fallback_rate(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", (F.col("event_type") == "error").alias("fallback"), "user_id")
-    return metrics.fallback_rate(e, seconds=6 * 3600, key="user_id").select("event_id", "n", F.coalesce("failed", F.lit(0)).alias("failed"))
+    return metrics.fallback_rate(e, seconds=6 * 3600, least=5, cooldown=3600, key="user_id").select("event_id", "n", F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("alert", F.lit(False)).alias("alert"))
 
 
 @query
