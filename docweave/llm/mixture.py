@@ -14,10 +14,13 @@ Targets: sources by code point, null last, weigh 1, 2, 3, 1, ... and share the
 whole size; a source's target stops at ``epochs`` times its size, and what is
 over goes to the others by weight until none is above.
 
-All is made from hashes of numbers, so reruns agree.  Only per-source rows are
-sorted in one place; per-document sums run within (source, chunk), where a
-chunk is one of about sqrt(documents) hash ranges, so that a source with a third
-of all rows is spread.
+All is made from hashes of numbers, so reruns agree.  Only one row per source, and
+one per source and 4096 shards, are sorted in one place; per-document sums run
+within (source, chunk), where a chunk is one of about sqrt(documents) hash
+ranges, so that a source with a third of all rows is spread.
+
+A null source is a source, a null text has no words, and repeated rows have
+words of their own.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from docweave.llm.common import WORD_PATTERN, materialize
 #: Words of a block, slots of an output shard, rounds of the shuffle.
 BLOCK, SHARD_SLOTS, ROUNDS = 64, 4096, 24
 GRID = 1024
+#: Shards whose slots are summed together.
+SHARDS_TOGETHER = 4096
 #: Slots that a task numbers and maps to blocks.
 SLOTS_PER_TASK = 50_000
 
@@ -103,6 +108,17 @@ def draw_slots(plan: DataFrame, slots: int, seed: int, shard_slots: int = SHARD_
     return sure.unionByName(drawn.select("shard", "n", F.lit(1).cast("long").alias("count"))).groupBy("shard", "n").agg(F.sum("count").alias("count"))
 
 
+def first_slots(counts: DataFrame, together: int = SHARDS_TOGETHER) -> DataFrame:
+    """counts (shard, n, count) with first, the source's slots in all shards before: sums of ranges of shards, then sums within each."""
+    ranged = counts.withColumn("range", F.floor(F.col("shard") / together).cast("long"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("n", "range").agg(F.sum("count").alias("in_range"))
+    base = whole.select(F.col("n").alias("n2"), F.col("range").alias("r2"), F.coalesce(F.sum("in_range").over(before(Window.partitionBy("n").orderBy("range"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("count").over(before(Window.partitionBy("n", "range").orderBy("shard"))), F.lit(0))
+    summed = ranged.withColumn("inside", inside).join(base, (F.col("n") == F.col("n2")) & (F.col("range") == F.col("r2")))
+    return summed.select("shard", "n", "count", (F.col("base") + F.col("inside")).alias("first"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, epochs: int = 3, seed: int = 9, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of the mix.
 
@@ -125,8 +141,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         return named, empty
     shares = plan.select("n", (F.col("slots") / F.sum("slots").over(Window.partitionBy(F.lit(1)))).alias("p")).where("p > 0")
     counts = draw_slots(shares, slots, seed, shard_slots)
-    so_far = Window.partitionBy("n").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("count").over(so_far), F.lit(0)))
+    counts = first_slots(materialize(counts, "mix-counts"))
     # a row here stands for up to a shard of slots: they are dealt before they are written out
     counts = counts.where("count > 0").repartition(min(20_000, math.ceil(slots / SLOTS_PER_TASK)), "shard", "n")
     numbered = counts.select("shard", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("k")).join(plan.select("n", "blocks"), "n")
