@@ -130,6 +130,14 @@ class WordEncoder(dict):
         #: Latin letters as the merges see them: their bytes as visible characters.
         self.visible = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
         self.marks = {c: self._ids(c) for c in ".,"}
+        self.direct = self._is_direct()
+
+    def _is_direct(self) -> bool:
+        """Whether words may go straight to the merges, as the file's own pipeline gives the same ids for words that cover its letters."""
+        letters = [c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c != "\u0130"]
+        probes = [w for c in letters for w in (c, f"a{c}b", f"{c}e{c}")] + ["straße", "don", "Tokens", "ÉTÉ", "ﬁ", "abc" * 30]
+        probes = [w + mark for w in probes for mark in ("", ".", ",")]
+        return all((p := self._plain(w)) is None or self._merged(p[0]) + p[1] == self._ids(w) for w in probes)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -143,13 +151,21 @@ class WordEncoder(dict):
     def _learn(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        plain = self._plain(chunk) if self.direct else None
+        if plain is None:
+            return self._ids(chunk)
+        low, mark = plain
+        return self._merged(low) if low == chunk else self[low] + mark
+
+    def _plain(self, chunk: str) -> tuple[str, bytes] | None:
+        """A word of Latin letters in lower case, and the ids of the stop or comma behind it; None for any other chunk."""
         mark = self.marks.get(chunk[-1])
         word = chunk[:-1] if mark else chunk
         if not word.isalpha() or not (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
-            return self._ids(chunk)
-        low = word.lower()
-        if low != chunk:
-            return self[low] + (mark or b"")
+            return None
+        return word.lower(), mark or b""
+
+    def _merged(self, low: str) -> bytes:
         return array("I", [t.id for t in self.merges(low if low.isascii() else low.translate(self.visible))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -210,10 +226,10 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text:
 def read_documents(segments: DataFrame) -> DataFrame:
     """Per document, from the written segments: doc_id, start, n_tokens, ids_crc32.
 
-    The starts come from the segments' own counts: a running sum over one small
-    row per segment, of which there is one per million ids.
+    The starts come from the segments' own counts: sums of ranges of segments,
+    then sums within each range.
     """
-    order = Window.orderBy("first_doc", "last_doc", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    order = lambda *ranges: Window.partitionBy(*ranges).orderBy("first_doc", "last_doc", "seg").rowsBetween(Window.unboundedPreceding, -1)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -229,5 +245,9 @@ def read_documents(segments: DataFrame) -> DataFrame:
     local = segments.select(F.monotonically_increasing_id().alias("seg"), "payload").mapInPandas(tidy(run), "seg long, first_doc long, last_doc long, n_ids long, doc_id long, at long, n_tokens long, ids_crc32 long")
     local = materialize(local, "dac-docs")
     firsts = local.where("at = 0").select("seg", "first_doc", "last_doc", "n_ids")
-    base = firsts.select("seg", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    firsts = firsts.repartitionByRange("first_doc", "last_doc", "seg").withColumn("range", F.spark_partition_id())
+    firsts = materialize(firsts, "dac-segments")
+    ranges = firsts.groupBy("range").agg(F.sum("n_ids").alias("n")).select(F.col("range").alias("r2"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = firsts.withColumn("inside", F.coalesce(F.sum("n_ids").over(order("range")), F.lit(0)))
+    base = within.join(ranges, F.col("range") == F.col("r2")).select("seg", (F.col("before") + F.col("inside")).alias("base"))
     return local.join(base, "seg").select(F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
