@@ -220,6 +220,84 @@ def test_mix_comes_near_its_targets(spark):
     assert mx.taken_words(*mx.mix(empty)).count() == 0
 
 
+def test_mix_equals_plain_python(spark):
+    """Shares, draws, permutations and blocks by loops; the hashes themselves are Spark's."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 90)), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, shard_slots, seed, epochs = 8, 64, 9, 3
+    named, spans = mx.mix(docs, block=block, shard_slots=shard_slots, seed=seed, epochs=epochs)
+    placed = named.select("doc_id", "source", "n", "chunk", "rn", "offset", "size").collect()
+    got = sorted((r.n, r.shard, r.epoch, r.block, r.chunk, r.rn, r.start, r.stop) for r in spans.collect())
+    hashes = {}
+
+    def xx(*args):
+        """xxhash64 of values, a batch of them at a time."""
+        return hashes[args]
+
+    def learn(frame):
+        for r in frame.collect():
+            hashes[tuple(r)[:-1]] = r[-1]
+
+    # documents of a source lie end to end, in the order of chunk and row
+    sizes = {}
+    for r in sorted(placed, key=lambda r: (r.n, r.chunk, r.rn)):
+        assert r.offset == sizes.get(r.n, 0)
+        sizes[r.n] = r.offset + r.size
+    names = {r.n: r.source for r in placed}
+    assert [names[n] for n in sorted(names)] == ["a", "b", "c", None]
+    target = _water({n: sizes[n] for n in sizes}, {n: (n - 1) % 3 + 1 for n in sizes}, epochs)
+    blocks = {n: -(-sizes[n] // block) for n in sizes}
+    expected = {n: target[n] * blocks[n] / sizes[n] for n in sizes}
+    total = int(np.ceil(sum(expected.values()) - 1e-9))
+    share = {n: expected[n] / sum(expected.values()) for n in sizes}
+    shards = -(-total // shard_slots)
+    learn(spark.range(shards).crossJoin(spark.range(1, 9).withColumnRenamed("id", "j")).select(F.lit(seed).alias("s"), "id", F.col("j").cast("int"), F.xxhash64(F.lit(seed), "id", F.col("j").cast("long"))))
+    slots = {n: 0 for n in sizes}
+    taken = []
+    for shard in range(shards):
+        m = min(shard_slots, total - shard * shard_slots)
+        count = {n: int(np.floor(share[n] * m)) for n in sizes}
+        rest = {n: share[n] * m - count[n] for n in sizes}
+        upto = np.cumsum([rest[n] for n in sorted(rest)]) / sum(rest.values())
+        for j in range(1, m - sum(count.values()) + 1):
+            u = (xx(seed, shard, j) % (1 << 40)) / (1 << 40)
+            count[sorted(rest)[int(np.searchsorted(upto, u, side="right"))]] += 1
+        for n in sorted(sizes):
+            taken += [(n, shard, k) for k in range(slots[n], slots[n] + count[n])]
+            slots[n] += count[n]
+    taken = [(n, shard, k // blocks[n], k % blocks[n]) for n, shard, k in taken if k // blocks[n] < epochs]
+    # one draw and one partner per round, epoch and source
+    learn(spark.createDataFrame([(seed, n, e) for n in sizes for e in range(epochs)], "s int, n long, e long").select("s", "n", "e", F.xxhash64("s", "n", "e")))
+    keys = {(n, e): xx(seed, n, e) for n in sizes for e in range(epochs)}
+    grid = spark.createDataFrame([(k, i) for k in keys.values() for i in range(1, mx.ROUNDS + 1)], "k long, i int")
+    learn(grid.select("k", "i", F.xxhash64("k", "i")))
+    most = max(blocks.values())
+    learn(grid.crossJoin(spark.range(most).withColumnRenamed("id", "x")).select("k", "i", "x", F.xxhash64("k", "i", "x")))
+    want = []
+    spread = {n: [r for r in placed if r.n == n and r.size] for n in sizes}
+    for n, shard, epoch, x in taken:
+        for i in range(1, mx.ROUNDS + 1):
+            partner = (xx(keys[n, epoch], i) % blocks[n] - x) % blocks[n]
+            if xx(keys[n, epoch], i, max(x, partner)) % 2 == 1:
+                x = partner
+        for r in spread[n]:
+            start, stop = max(0, x * block - r.offset), min(r.size, (x + 1) * block - r.offset)
+            if start < stop:
+                want.append((n, shard, epoch, x, r.chunk, r.rn, start, stop))
+    assert got == sorted(want)
+
+
+def test_sums_of_slots_by_ranges(spark):
+    rows = [(s, n, (s * 7 + n) % 5) for s in range(300) for n in (1, 2, 3) if (s + n) % 4]
+    got = {(r.shard, r.n): r.first for r in mx.first_slots(spark.createDataFrame(rows, "shard long, n long, count long"), together=16).collect()}
+    so_far = {}
+    for s, n, c in sorted(rows):
+        assert got[s, n] == so_far.get(n, 0)
+        so_far[n] = so_far.get(n, 0) + c
+    assert len(got) == len(rows)
+
+
 def test_mixed_rows_are_parts_of_their_texts(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}-{k}" for k in range(i * 17 % 300)), f"s{i % 3}", "en") for i in range(60)], "doc_id long, text string, source string, lang string")
     rows, spans = mx.mix(docs)

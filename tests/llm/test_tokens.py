@@ -93,3 +93,28 @@ def test_segments_read_back(spark):
             assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
             at += len(ids)
     assert dac_codes.read_documents(dac_codes.write_segments(docs.limit(0), tokenizer_file("word_bpe_49k.json"))).count() == 0
+
+
+def test_words_go_to_the_tokenizer_where_the_merges_alone_differ(tmp_path):
+    """A file that doesn't lower-case: its words keep their capitals, so none may take the short way."""
+    import json
+
+    with open(tokenizer_file("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    enc = dac_codes.WordEncoder(str(path))
+    assert not enc.direct and dac_codes.encoder_of(tokenizer_file("word_bpe_49k.json")).direct
+    texts = ["Some words, And More. ÉTÉ", "plain ones"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_very_long_text_and_many_segments(spark):
+    rows = [(i, f"word{i % 7} " * (i % 50)) for i in range(400)] + [(1000, "many words in one text " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = dac_codes.read_documents(dac_codes.write_segments(docs, tokenizer_file("word_bpe_49k.json"), partitions=5, segment_ids=500)).orderBy("doc_id").collect()
+    enc, at = dac_codes.encoder_of(tokenizer_file("word_bpe_49k.json")).tokenizer, 0
+    for r, (i, x) in zip(got, sorted(rows), strict=True):
+        assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(enc.encode(x, add_special_tokens=False).ids) + 1)
+        at += r.n_tokens
