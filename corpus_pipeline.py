@@ -12,38 +12,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import line_crf, minhash_dedup, mixture, quality_rules, sentencepiece_codec
-from docweave.llm.common import materialize, table
+from docweave.llm.common import carried, materialize, table
 from docweave.llm.queries import tokenizer_file
 
 #: Least similarity of near duplicates in the pipeline, in percent; op5_minhash_dedup has its own.
 NEAR_PERCENT = 80
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What the scoring operators add to the columns they carry.
+SCORED = ["score"]
+JUDGED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_jsd", "form_jsd", "word_jsd", "kept"]
+
+
+def _columns_of(frame: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
+    """The documents' own columns of a result that also has the made ones, whatever their names."""
+    names = carried(docs.columns, made)
+    return frame.select(*[F.col(f"`{names[c]}`").alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose line model's score reaches the threshold."""
+    """Documents whose line model's score reaches the threshold.
+
+    The model learns from the rows of ``docs`` with a label.  Null and empty texts have
+    no bad line and stay; repeated rows are scored alike; without labels of both
+    kinds every score is 0.5, so that all documents stay.  An empty table gives one.
+    """
     model = line_crf.train(docs, table(spark, sf_dir, "labels"))
-    return line_crf.score(docs, model, keep=COLUMNS).where(F.col("score") >= line_crf.THRESHOLD).select(*COLUMNS)
+    return _columns_of(line_crf.score(docs, model, keep=docs.columns).where(F.col("score") >= line_crf.THRESHOLD), docs, SCORED)
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose histograms are near their language's."""
-    return quality_rules.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and whose histograms are near their language's.
+
+    Null and empty texts have no words and go; a null language is one of its own;
+    repeated rows are judged alike.  An empty table gives one.
+    """
+    return _columns_of(quality_rules.judge(docs, keep=docs.columns).where("kept"), docs, JUDGED)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash_dedup.keep_one(docs, percent=NEAR_PERCENT).select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the least doc_id.
+
+    Repeated rows are one document; null and empty texts are near nothing and
+    stay; rows without a doc_id count as behind all others.  An empty table gives one.
+    """
+    return minhash_dedup.keep_one(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document and epoch of the mix, with the words that the epoch takes of it."""
+    """A row per document and epoch of the mix, with the words that the epoch takes of it.
+
+    Texts without a word are never taken; a null source is a source; n_chars is
+    that of the part taken.  An empty table gives one.
+    """
     rows, spans = mixture.mix(docs)
-    return mixture.mixed_rows(docs, rows, spans).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return mixture.mixed_rows(docs, rows, spans).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every row."""
+    """SentencePiece ids of every row; a null text has none, repeated rows all have theirs."""
     return sentencepiece_codec.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
 
 
