@@ -319,7 +319,7 @@ def test_pipeline_keeps_clean_documents(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = cp.quality_classifier(spark, docs, sf)
-    assert kept.columns == cp.COLUMNS
+    assert kept.columns == docs.columns
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     good = labels.where("quality = 1").join(docs, "doc_id").count()
     assert kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.97 * good
@@ -327,8 +327,24 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     rows = out.collect()
     assert rows and all(r.parity and r.round_trip for r in rows)
     assert {r.doc_id for r in rows} <= {r.doc_id for r in kept.select("doc_id").collect()}
-    assert cp.near_dedup(spark, docs.limit(0), sf).columns == cp.COLUMNS
-    assert cp.mix_sources(spark, docs.limit(0), sf).columns == cp.COLUMNS
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = docs.orderBy("doc_id").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, "word " * 50_000, None, None, 250_000), (None, "a b c", "xx", None, 5)], docs.schema)
+    odd = few.unionByName(few.limit(3)).unionByName(odd).withColumns({c: F.lit(i) for i, c in enumerate(["score", "kept", "ids", "digest", "size", "n", "in_kept", "k_0"])})
+    for name, stage in cp.STAGES:
+        got, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+        assert none.count() == 0 and none.columns == got.columns, name
+        if name != "sentencepiece":
+            assert got.columns == odd.columns, name
+            rows = got.collect()
+            assert len(rows) > 10 and all((r.score, r.kept, r.in_kept, r.k_0) == (0, 1, 6, 7) for r in rows), name
+        else:
+            assert got.count() == odd.count()
 
 
 def test_pipeline_stages_equal_plain_python(spark, sf):
