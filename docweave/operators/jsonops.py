@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -103,6 +105,40 @@ def tiebreaker_prompt(kind: str, snippet: Column, candidates: Column) -> Column:
     return F.concat_ws("\n", F.lit(f"choose={kind}"), F.concat(F.lit("candidates="), compact_json(candidates)), F.lit("text:"), snippet)
 
 
+def extraction_prompt(kind: str, text: Column, keys: list[str]) -> Column:
+    """The request for all fields of a document."""
+    return F.concat_ws("\n", F.lit(f"type={kind}"), F.lit("fields=" + ",".join(keys)), F.lit("text:"), text)
+
+
+def contract_prompt(text: Column, fields: Column, requested: Column) -> Column:
+    """The request for a contract's missing fields, amounts as plain numbers and dates as YYYY-MM-DD."""
+    return F.concat_ws("\n", F.lit("amounts=integer dates=YYYY-MM-DD"), entity_prompt("contract", text, fields, requested))
+
+
+def fallback_prompt(kind: str, text: Column, issues: Column) -> Column:
+    """The request to read a document again for what its checks found."""
+    return F.concat_ws("\n", F.lit(f"type={kind}"), F.concat(F.lit("issues="), F.array_join(issues, ",")), F.lit("text:"), text)
+
+
+def project_prompt(snippet: Column, candidates: Column) -> Column:
+    """The request to choose a project."""
+    return tiebreaker_prompt("project", snippet, candidates)
+
+
+def task_prompt(snippet: Column, candidates: Column, project: Column) -> Column:
+    """The request to choose a task of a project."""
+    return F.concat_ws("\n", F.concat(F.lit("project="), project), tiebreaker_prompt("task", snippet, candidates))
+
+
+def request_payload(prompt: Column, system: str, schema: dict | None = None, max_tokens: int = 1536, thinking: int = 0) -> Column:
+    """A model's request as JSON: system instruction, prompt, and a configuration for JSON answers without sampling."""
+    part = lambda text: F.array(F.struct(text.alias("text")))
+    config = [F.lit(0).alias("temperature"), F.lit("application/json").alias("responseMimeType"), F.lit(max_tokens).alias("maxOutputTokens"), F.struct(F.lit(thinking).alias("thinkingBudget")).alias("thinkingConfig")]
+    if schema is not None:
+        config.append(F.parse_json(F.lit(json.dumps(schema))).alias("responseSchema"))
+    return F.to_json(F.struct(F.struct(part(F.lit(system)).alias("parts")).alias("systemInstruction"), F.array(F.struct(F.lit("user").alias("role"), part(prompt).alias("parts"))).alias("contents"), F.struct(*config).alias("generationConfig")))
+
+
 def tiebreaker_choice(answer: Column, ids: Column) -> Column:
     """(id, confidence, reasoning) of an answer whose id is among the candidates; else null."""
 

@@ -61,6 +61,38 @@ def route(mode: str, key: Column, percent: float = 10.0) -> Column:
     return {"vision_primary": F.lit("cloud_vision"), "vision_canary": F.when(canary(key, percent), "cloud_vision").otherwise("document_ai"), "vision_shadow": F.lit("document_ai_shadow")}.get(mode, F.lit("document_ai"))
 
 
+def served(docs: DataFrame, primary, fallback) -> DataFrame:
+    """Rows of the primary provider, and of the fallback for documents of which that gave no text; ``fallback_used`` tells them apart.
+
+    Each provider is a function from documents (doc_id, ...) to (doc_id, text).
+    """
+    first = primary(docs).select("doc_id", "text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    rest = docs.join(first.select("doc_id"), "doc_id", "left_anti")
+    return first.withColumn("fallback_used", F.lit(False)).unionByName(fallback(rest).select("doc_id", "text", F.lit(True).alias("fallback_used")))
+
+
+def reclaimable(deliveries: DataFrame, acks: DataFrame, now: Column, idle_seconds: int = 60) -> DataFrame:
+    """(job_id, deliveries, last): jobs that were delivered but not acknowledged, the last time ``idle_seconds`` ago or earlier."""
+    last = deliveries.groupBy("job_id").agg(F.count(F.lit(1)).alias("deliveries"), F.max("delivered_at").alias("last"))
+    return last.where(F.unix_timestamp(now) - F.unix_timestamp("last") >= idle_seconds).join(acks.select("job_id"), "job_id", "left_anti")
+
+
+def cache_lookups(requests: DataFrame, entries: DataFrame, fresh_seconds: int = 300, stale_seconds: int = 1800) -> DataFrame:
+    """Requests (key, ts, request_id) with state (fresh, stale, miss) and refresh.
+
+    entries: key, loaded_at.  A stale entry is served, and the first request that
+    finds it stale refreshes it (one flight for all); a miss loads it itself.
+    """
+    age = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("loaded_at").cast("timestamp"))
+    state = F.when((age < 0) | age.isNull() | (age > stale_seconds), "miss").when(age <= fresh_seconds, "fresh").otherwise("stale")
+    # of the entries loaded before a request the latest counts
+    loads = requests.select("key", "ts", "request_id", F.lit(None).cast("timestamp").alias("own"), F.lit(1).alias("kind")).unionByName(entries.select("key", F.col("loaded_at").alias("ts"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.col("loaded_at").cast("timestamp").alias("own"), F.lit(0).alias("kind")))
+    order = Window.partitionBy("key").orderBy("ts", "kind", "request_id")
+    seen = loads.withColumn("loaded_at", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1").withColumn("state", state)
+    first = F.row_number().over(Window.partitionBy("key", "loaded_at", "state").orderBy("ts", "request_id")) == 1
+    return seen.select("key", "ts", "request_id", "state", ((F.col("state") == "miss") | ((F.col("state") == "stale") & first)).alias("refresh"))
+
+
 def fallback_rate(attempts: DataFrame, seconds: int = 300, least: int = 20, rate: float = 0.2, cooldown: int = 60, key: str | None = None) -> DataFrame:
     """Attempts (ts, event_id, fallback) with n and failed of the sliding window, rate, and alert.
 

@@ -560,3 +560,82 @@ def q_taxonomies(spark, sf):
     forms, groups = dims.taxonomies(spark)
     both = forms.withColumn("kind", F.lit("forms")).unionByName(groups.withColumn("kind", F.lit("groups")))
     return both.groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min_by("name", "ord").alias("first"))
+
+
+@case("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'b ' ELSE 'a ' END || o_orderkey AS text, o_orderkey % 3 = 0 AS fallback_used FROM orders WHERE o_orderkey % 6 <> 3")
+def q_provider_fallback(spark, sf):
+    """Documents that the first provider gives no text for go to the second, which lacks some."""
+    docs = orders(spark, sf).select(num().alias("doc_id"))
+    text = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string"))
+    primary = lambda d: d.where("doc_id % 9 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 != 0, text("a ")).otherwise(" ").alias("text"))
+    return metrics.served(docs, primary, lambda d: d.where("doc_id % 6 <> 3").select("doc_id", text("b ").alias("text")))
+
+
+@case("""
+SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS deliveries FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0""")
+def q_reclaimable(spark, sf):
+    """Deliveries that nobody acknowledged for a minute; a second delivery is a new start."""
+    o = orders(spark, sf)
+    at = lambda t: F.lit(f"2024-01-01 00:{t}").cast("timestamp")
+    one = o.select(num().alias("job_id"), F.when(num() % 5 == 0, at("01:31")).otherwise(at("01:30")).alias("delivered_at"))
+    two = o.where("o_orderkey % 4 = 0").select(num().alias("job_id"), at("02:00").alias("delivered_at"))
+    return metrics.reclaimable(one.unionByName(two), o.where("o_orderkey % 3 = 0").select(num().alias("job_id")), at("02:30")).select("job_id", "deliveries")
+
+
+@case("""
+WITH l AS (SELECT user_id, min(ts) + INTERVAL 1 DAY AS lo FROM events GROUP BY user_id), a AS (SELECT event_id, e.user_id, ts, date_diff('second', date_trunc('second', lo), date_trunc('second', ts)) AS age, ts >= lo AS behind FROM events e JOIN l ON e.user_id = l.user_id),
+s AS (SELECT *, CASE WHEN NOT behind OR age > 172800 THEN 'miss' WHEN age <= 86400 THEN 'fresh' ELSE 'stale' END AS state FROM a)
+SELECT event_id, state, state = 'miss' OR (state = 'stale' AND row_number() OVER (PARTITION BY user_id, state ORDER BY ts, event_id) = 1) AS refresh FROM s""")
+def q_cache_lookups(spark, sf):
+    """Requests of a day, two days and longer behind the load of their key's entry."""
+    e = table(spark, sf, "events")
+    entries = e.groupBy(F.col("user_id").alias("key")).agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("loaded_at"))
+    asked = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request_id"))
+    return metrics.cache_lookups(asked, entries, 86_400, 172_800).select(F.col("request_id").alias("event_id"), "state", "refresh")
+
+
+@case("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 WHEN o_orderkey % 3 = 1 THEN 0.85 ELSE 0 END::DOUBLE AS mean_confidence FROM orders")
+def q_mean_confidence(spark, sf):
+    """Over the words that have a confidence."""
+    words = pick(3, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.0)), F.array(F.lit(0.9), F.lit(0.8)), F.array(F.lit(0.0)))
+    return files.mean_confidence(orders(spark, sf).select(num().alias("doc_id"), F.explode(words).alias("confidence")))
+
+
+@case("""
+WITH f AS (SELECT o_orderkey AS doc_id, o_orderkey % 40 + 1 AS pages, o_orderkey % 5 AS kind FROM orders), p AS (SELECT doc_id, kind, pages, unnest(CASE WHEN kind < 2 AND pages > 14 THEN range(0, pages, 14) ELSE [0] END) AS o FROM f)
+SELECT doc_id, string_agg(CASE WHEN kind < 2 THEN 'pdf ' || o || '+' || (CASE WHEN pages > 14 THEN least(14, pages - o) ELSE pages END) ELSE 'image ' || pages END, chr(10) || chr(10) ORDER BY o) AS text, NULL::VARCHAR AS code FROM p WHERE kind < 3 AND NOT (kind = 0 AND pages > 28) GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, CASE WHEN kind = 0 THEN 'part_failed' ELSE 'unsupported_media_type' END FROM f WHERE kind > 2 OR (kind = 0 AND pages > 28)""")
+def q_dispatch(spark, sf):
+    """Long PDFs in parts, images whole, other types refused, and documents of which a part failed."""
+    kind = F.when(num() % 5 < 2, "application/pdf").when(num() % 5 == 2, "image/png").when(num() % 5 == 3, "text/html")
+    uploads = orders(spark, sf).select(num().alias("doc_id"), kind.alias("media_type"), (num() % 40 + 1).cast("int").alias("pages"))
+    pdf = lambda d: d.select("doc_id", "offset", F.when(~((F.col("doc_id") % 5 == 0) & (F.col("offset") == 28)), F.concat_ws("", F.lit("pdf "), "offset", F.lit("+"), "pages")).alias("text"))
+    image = lambda d: d.select("doc_id", "offset", F.concat_ws("", F.lit("image "), "pages").alias("text"))
+    texts, failures = files.dispatch(uploads, {"application/pdf": pdf, "image/": image})
+    return texts.select("doc_id", "text", F.lit(None).cast("string").alias("code")).unionByName(failures.select("doc_id", F.lit(None).cast("string").alias("text"), "code"))
+
+
+@case("""
+SELECT o_orderkey AS doc_id, 'matched' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'P' || o_orderkey END AS project, CASE WHEN o_orderkey % 2 = 0 THEN 0.9 END::DOUBLE AS score, CASE WHEN o_orderkey % 3 = 0 THEN 'step' END AS step, 0::INT AS warnings,
+  '{"error":{"code":"c","message":"m","details":null,"request_id":"' || o_orderkey || '"}}' AS error FROM orders""")
+def q_match_output(spark, sf):
+    """K3, K9: what a match shows, and a failed row's envelope."""
+    o = orders(spark, sf).select(num().alias("doc_id"), F.lit("matched").alias("status"), F.when(num() % 2 == 0, F.concat(F.lit("P"), key())).alias("project_id"), F.lit(0.9).alias("project_score"), F.when(num() % 3 == 0, "T").alias("task_id"), F.lit("step").alias("task_workflow_step_name"))
+    errors = sinks.error_envelope(o.select("doc_id", F.lit("c").alias("code"), F.lit("m").alias("message"), F.col("doc_id").cast("string").alias("request_id")))
+    m = sinks.match_output(o).join(errors, "doc_id")
+    return m.select("doc_id", "match.status", F.col("match.project.id").alias("project"), F.col("match.project.score").alias("score"), F.col("match.task.workflow_step_name").alias("step"), F.size("match.warnings").alias("warnings"), "error")
+
+
+@case("""
+SELECT o_orderkey AS doc_id, 'type=document' || chr(10) || 'fields=title,issuer' || chr(10) || 'known={}' || chr(10) || 'text:' || chr(10) || 'T' || o_orderkey AS entity, 'project=P' || chr(10) || 'choose=task' || chr(10) || 'candidates=[{"id":"' || o_orderkey || '"}]' || chr(10) || 'text:' || chr(10) || 'S' AS task,
+  'T' || o_orderkey AS prompt, 'be exact' AS system, '1536' AS most, 'object' AS kind FROM orders""")
+def q_prompts(spark, sf):
+    """J9, J10."""
+    text = F.concat(F.lit("T"), key())
+    payload = jsonops.request_payload(text, "be exact", {"type": "object"})
+    df = T.once(orders(spark, sf), p=payload)
+    get = lambda path: F.get_json_object("p", path)
+    return df.select(
+        num().alias("doc_id"), jsonops.entity_prompt("document", text, F.lit("{}"), F.array(F.lit("title"), F.lit("issuer"))).alias("entity"), jsonops.task_prompt(F.lit("S"), F.array(F.struct(key().alias("id"))), F.lit("P")).alias("task"),
+        get("$.contents[0].parts[0].text").alias("prompt"), get("$.systemInstruction.parts[0].text").alias("system"), get("$.generationConfig.maxOutputTokens").alias("most"), get("$.generationConfig.responseSchema.type").alias("kind"),
+    )

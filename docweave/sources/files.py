@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docweave.functions.text import missing
 from docweave.operators.layout import normalized_box, words_to_lines
@@ -131,17 +132,104 @@ def read_tasks(spark: SparkSession, path: str, project_ids: list[str]) -> DataFr
     return spark.read.parquet(path).where(F.col("project_id").cast("string").isin(project_ids))
 
 
-def read_pages_until(fetch: Callable[[int, int], list | None], size: int = 100, most: int = 10) -> list:
-    """All items of a paged catalogue; stops at a short page, no list, or the page limit."""
+def pages_until(fetch: Callable[[int, int], list | tuple | None], size: int = 100, most: int = 10) -> tuple[list, bool]:
+    """(items, whether they are all) of a paged catalogue.
+
+    fetch(page, size) gives a page's items, alone or with the catalogue's total.
+    Stops once the total is reached, at a short page or none, or at the limit of pages.
+    """
     out: list = []
     for page in range(1, most + 1):
-        items = fetch(page, size)
+        got = fetch(page, size)
+        items, total = got if isinstance(got, tuple) else (got, None)
         if not isinstance(items, list):
-            break
-        out += items
-        if len(items) < size:
-            break
-    return out
+            return out, True
+        out += [x for x in items if isinstance(x, dict)] if total is not None else items
+        if len(items) < size or (total is not None and len(out) >= total):
+            return out, True
+    return out, False
+
+
+def read_pages_until(fetch: Callable[[int, int], list | tuple | None], size: int = 100, most: int = 10) -> list:
+    """The items of ``pages_until``."""
+    return pages_until(fetch, size, most)[0]
+
+
+class PagedCatalogue(DataSource):
+    """A paged catalogue as a table of one JSON text per item, a task per page.
+
+    Options: fetch, the name ``module:function`` of what gives a page; page_size
+    and max_pages; columns come from ``from_json`` on ``item``.  The first page
+    tells, with the catalogue's total, how many tasks there are; without a total
+    there are as many as pages may be, and those behind the last page are empty.
+    Register it with ``spark.dataSource.register(PagedCatalogue)``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_catalogue"
+
+    def schema(self) -> str:
+        return "page int, pos int, item string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Pages(self.options["fetch"], int(self.options.get("page_size", "100")), int(self.options.get("max_pages", "10")))
+
+
+class _Pages(DataSourceReader):
+    def __init__(self, fetch: str, size: int, most: int):
+        self.fetch, self.size, self.most = fetch, size, most
+
+    def _page(self, number: int) -> tuple[list, int | None]:
+        import importlib
+
+        module, function = self.fetch.split(":")
+        got = getattr(importlib.import_module(module), function)(number, self.size)
+        items, total = got if isinstance(got, tuple) else (got, None)
+        return (items if isinstance(items, list) else []), total
+
+    def partitions(self) -> list[InputPartition]:
+        items, total = self._page(1)
+        pages = 1 if len(items) < self.size else self.most if total is None else min(self.most, max(1, -(-total // self.size)))
+        return [InputPartition(n) for n in range(1, pages + 1)]
+
+    def read(self, partition: InputPartition):
+        import json
+
+        for pos, item in enumerate(self._page(partition.value)[0]):
+            if isinstance(item, dict):
+                yield partition.value, pos, json.dumps(item, ensure_ascii=False)
+
+
+def mean_confidence(words: DataFrame) -> DataFrame:
+    """(doc_id, mean_confidence) over the words that have one."""
+    have = F.when(F.col("confidence") > 0, F.col("confidence"))
+    return words.groupBy("doc_id").agg(F.round(F.coalesce(F.avg(have), F.lit(0.0)), 4).alias("mean_confidence"))
+
+
+def dispatch(uploads: DataFrame, providers: dict[str, Provider], most_pages: int = 14, in_parts: tuple[str, ...] = ("application/pdf",)) -> tuple[DataFrame, DataFrame]:
+    """(texts, failures): uploads (doc_id, media_type, pages, ...) split, routed and joined in order.
+
+    Files of a type that can be split and of more pages than ``most_pages`` go in
+    parts.  Each provider gets the parts (doc_id, part, offset, pages, media_type)
+    of its media types, by prefix, and gives (doc_id, offset, text); types without
+    a provider, and documents that lack a part's text, are failures (doc_id, code, message).
+    """
+    splits = F.col("media_type").isin(*in_parts) & (F.col("pages") > most_pages)
+    offsets = F.when(splits, F.sequence(F.lit(0), F.greatest(F.col("pages") - 1, F.lit(0)), F.lit(most_pages))).otherwise(F.array(F.lit(0)))
+    parts = uploads.select("*", F.posexplode(offsets).alias("part", "offset")).withColumn("pages", F.when(splits, F.least(F.lit(most_pages), F.col("pages") - F.col("offset"))).otherwise(F.col("pages")))
+    known, texts = F.lit(False), None
+    for prefix, provider in providers.items():
+        own = F.col("media_type").startswith(prefix) & ~known
+        got = provider(parts.where(own)).select("doc_id", "offset", "text").where("text is not null")
+        texts = got if texts is None else texts.unionByName(got)
+        known = known | F.col("media_type").startswith(prefix)
+    none = uploads.where(~F.coalesce(known, F.lit(False))).select("doc_id", F.lit("unsupported_media_type").alias("code"), F.coalesce("media_type", F.lit("")).alias("message"))
+    if texts is None:
+        return uploads.limit(0).select("doc_id", F.lit("").alias("text")), none
+    lacking = parts.where(known).join(texts.select("doc_id", "offset").distinct(), ["doc_id", "offset"], "left_anti").groupBy("doc_id").agg(F.lit("part_failed").alias("code"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" parts without a text")).alias("message"))
+    whole = texts.join(lacking, "doc_id", "left_anti")
+    return ordered_text(whole), none.unionByName(lacking)
 
 
 def provided(docs: DataFrame, provider: Provider | None) -> DataFrame:
