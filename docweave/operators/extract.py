@@ -527,19 +527,26 @@ def document_fields(docs: DataFrame, text: str = "clean_text", receipt_amounts:
     return df.drop("lines", "norm", "sample", "context", "body")
 
 
-def contract_fields(docs: DataFrame, text: str = "clean_text") -> DataFrame:
-    """The rows with the eighteen fields and note_list."""
+def contract_fields(docs: DataFrame, text: str = "clean_text", only: list[str] | None = None) -> DataFrame:
+    """The rows with the eighteen fields and note_list, or with ``only`` some of them: the others aren't looked for."""
+    wanted = [*CONTRACT_FIELDS, "note_list"] if only is None else only
     df = C.with_lines(docs, text)
     df = once(df, title_kind=C.title_kind(C.head(90)), cname=contract_name())
-    df = once(
-        df, contract_number=contract_number(), signed_date=contract_signed_date(F.col("title_kind")), execution_duration_days=duration_days(), contract_form=contract_form(), contract_vat_percent=labelled_percent(CONTRACT_VAT),
+    found = dict(
+        contract_number=contract_number(), signed_date=contract_signed_date(F.col("title_kind")), execution_duration_days=duration_days(), contract_form=contract_form(), contract_vat_percent=labelled_percent(CONTRACT_VAT),
         settlement_request_vat_percent=labelled_percent(SETTLEMENT_VAT), appraisal_vat_percent=labelled_percent(APPRAISAL_VAT), estimated_value=labelled_money(ESTIMATED), contract_value=labelled_money(CONTRACT_VALUE),
         contractor_group=contractor_group(F.col("cname")), contractor_name=contractor_name(), performance_guarantee_value=labelled_money(PERFORMANCE), performance_guarantee_end_date=labelled_date(PERFORMANCE),
         advance_guarantee_value=labelled_money(ADVANCE), advance_guarantee_end_date=labelled_date(ADVANCE), note_list=notes(),
     )
-    df = df.withColumn("contract_name", field(F.col("cname"), F.col("cname"), F.col("cname"), 0.84)).withColumn("work_name", let(work_name(F.col("cname")), lambda w: field(w, w, F.col("cname"), 0.68)))
-    value = F.col("contract_value")
-    df = df.withColumn("contractor_contract_amount", F.when(value.isNotNull(), F.struct(value["value"], value["norm"], value["amount"], value["evidence"], F.lit(0.72).alias("confidence"))).cast(FIELD))
+    needed = {*wanted, *(["contract_value"] if "contractor_contract_amount" in wanted else [])}
+    df = once(df, **{k: c for k, c in found.items() if k in needed})
+    name, value = F.col("cname"), F.col("contract_value")
+    if "contract_name" in wanted:
+        df = df.withColumn("contract_name", field(name, name, name, 0.84))
+    if "work_name" in wanted:
+        df = df.withColumn("work_name", let(work_name(name), lambda w: field(w, w, name, 0.68)))
+    if "contractor_contract_amount" in wanted:
+        df = df.withColumn("contractor_contract_amount", F.when(value.isNotNull(), F.struct(value["value"], value["norm"], value["amount"], value["evidence"], F.lit(0.72).alias("confidence"))).cast(FIELD))
     return df.drop("lines", "norm", "sample", "context", "body", "cname")
 
 

@@ -330,12 +330,12 @@ def numbered_lines() -> Column:
 
 @case(f"""
 WITH t AS (SELECT o_orderkey, {_LINES} AS a FROM orders)
-SELECT o_orderkey AS doc_id, array_to_string(list_concat(list_concat(a[1:45], list_filter(a[46:], lambda s: s LIKE 'Dự án%')), ['E ' || o_orderkey]), chr(10)) AS fallback,
+SELECT o_orderkey AS doc_id, array_to_string(a, chr(10)) AS entity, array_to_string(list_concat(list_concat(a[1:45], list_filter(a[46:], lambda s: s LIKE 'Dự án%')), ['E ' || o_orderkey]), chr(10)) AS fallback,
   left(left(array_to_string(a, chr(10)), 100) || CASE WHEN len(list_filter(a[31:], lambda s: s LIKE 'Dự án%')) > 0 THEN chr(10) || array_to_string(list_filter(a[31:], lambda s: s LIKE 'Dự án%'), chr(10)) ELSE chr(10) END, 200) AS tiebreak FROM t""")
 def q_fallback_text(spark, sf):
-    """J7, J8."""
+    """J6 to J8."""
     df = T.once(orders(spark, sf), ln=numbered_lines())
-    return df.select(num().alias("doc_id"), jsonops.fallback_text(F.col("ln"), F.array(cat("E ", key()))).alias("fallback"), jsonops.tiebreaker_text(F.col("ln"), 200).alias("tiebreak"))
+    return df.select(num().alias("doc_id"), jsonops.entity_text(F.concat(F.array(F.lit("CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM")), "ln")).alias("entity"), jsonops.fallback_text(F.col("ln"), F.array(cat("E ", key()))).alias("fallback"), jsonops.tiebreaker_text(F.col("ln"), 200).alias("tiebreak"))
 
 
 @case("""
@@ -639,3 +639,16 @@ def q_prompts(spark, sf):
         num().alias("doc_id"), jsonops.entity_prompt("document", text, F.lit("{}"), F.array(F.lit("title"), F.lit("issuer"))).alias("entity"), jsonops.task_prompt(F.lit("S"), F.array(F.struct(key().alias("id"))), F.lit("P")).alias("task"),
         get("$.contents[0].parts[0].text").alias("prompt"), get("$.systemInstruction.parts[0].text").alias("system"), get("$.generationConfig.maxOutputTokens").alias("most"), get("$.generationConfig.responseSchema.type").alias("kind"),
     )
+
+
+def numbered_page(page: int, size: int) -> tuple[list[dict], int]:
+    """A page of a catalogue of 250 numbered items, and its total."""
+    return [{"id": i, "name": f"dự án {i}"} for i in range((page - 1) * size, min(page * size, 250))], 250
+
+
+@case("SELECT (i // 40 + 1)::INT AS page, (i % 40)::INT AS pos, i AS id, 'dự án ' || i AS name FROM range(250) t(i)")
+def q_paged_catalogue(spark, sf):
+    """A paged catalogue, a task per page."""
+    spark.dataSource.register(files.PagedCatalogue)
+    items = spark.read.format("paged_catalogue").option("fetch", "docweave.plans.cases:numbered_page").option("page_size", "40").load()
+    return items.select("page", "pos", F.from_json("item", "id bigint, name string").alias("i")).select("page", "pos", "i.*")

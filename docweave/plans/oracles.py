@@ -133,6 +133,8 @@ h AS (SELECT a.doc_id, a.seg_id AS a, arg_min(b.seg_id, b.p) AS b FROM s a JOIN
 g2 AS (SELECT doc_id, a || ',' || b AS members, b AS last FROM h), g3 AS (SELECT g2.doc_id, members || ',' || h.b AS members, h.b AS last FROM g2 JOIN h ON g2.doc_id = h.doc_id AND g2.last = h.a),
 g4 AS (SELECT g3.doc_id, members || ',' || h.b AS members FROM g3 JOIN h ON g3.doc_id = h.doc_id AND g3.last = h.a)
 SELECT doc_id, seg_id AS members, 1::BIGINT AS n FROM s UNION ALL SELECT doc_id, members, 2 FROM g2 UNION ALL SELECT doc_id, members, 3 FROM g3 UNION ALL SELECT doc_id, members, 4 FROM g4"""
+SQL["q_shortlist"] = f"""
+SELECT f.doc_id, f.page AS t_id, g.members FROM {_SEG} f JOIN ({SQL["q_segment_groups"]}) g ON f.doc_id = g.doc_id AND list_contains(string_split(g.members, ','), f.seg_id) WHERE f.ord = 20 * (f.page - 1)"""
 SQL["q_nearest_segments"] = f"""
 SELECT doc_id, at_id, seg_id, rank FROM (SELECT b.doc_id, a.seg_id AS at_id, b.seg_id, row_number() OVER (PARTITION BY a.doc_id, a.seg_id ORDER BY abs(a.ord - b.ord), b.ord) AS rank
   FROM {_SEG} a JOIN {_SEG} b ON a.doc_id = b.doc_id AND a.page = b.page ) WHERE rank <= 6"""

@@ -235,7 +235,8 @@ def q_guarantee_date(spark, sf):
 @query
 def q_contract_wide(spark, sf):
     docs = contracts_as_documents(table(spark, sf, "lineitem"))
-    df = extract.contract_fields(docs, "text")
+    shown = ["contract_number", "signed_date", "execution_duration_days", "contract_vat_percent", "contract_value", "contractor_name", "performance_guarantee_value", "contractor_group"]
+    df = extract.contract_fields(docs, "text", only=shown)
     return df.select(
         "doc_id", F.col("contract_number.value").alias("contract_number"), F.col("signed_date.norm").alias("signed_date"), F.col("execution_duration_days.amount").cast("long").alias("days"), F.col("contract_vat_percent.amount").cast("long").alias("vat"),
         F.col("contract_value.amount").cast("long").alias("contract_value"), F.col("contractor_name.value").alias("contractor_name"), F.col("performance_guarantee_value.amount").cast("long").alias("guarantee"), F.col("contractor_group.value").alias("contractor_group"),
@@ -440,6 +441,15 @@ def q_box_greedy(spark, sf):
     return layout.attach_boxes(fields, s).select("doc_id", "field_key", "score", "page", F.array_join("segment_ids", ",").alias("segment_ids"))
 
 
+@query
+def q_shortlist(spark, sf):
+    """F16, A10: the groups worth comparing with the first line of each page; here those that hold it."""
+    s = segments(spark, sf)
+    texts = s.groupBy("doc_id", F.col("page").alias("t_id")).agg(F.min_by("text", "ord").alias("text"))
+    found = layout.shortlist(texts, layout.segment_groups(s))
+    return found.where("exact").select("doc_id", F.col("t_id").cast("long").alias("t_id"), F.array_join("members", ",").alias("members"))
+
+
 @query
 def q_words_to_lines(spark, sf):
     words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word", "text"))

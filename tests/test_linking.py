@@ -390,3 +390,29 @@ def test_longer_suffixes_and_deeper_texts(spark):
     deep = "[" * 12 + '"x", {"text": ["y", "[not json", "{neither"]}' + "]" * 12
     values = spark.createDataFrame([(deep,), ("{}",), ("[]",), (None,), ("7",)], "j string").select(flatten_text(F.col("j")).alias("t")).collect()
     assert [r.t for r in values] == [["x", "y", "[not json", "{neither"], [], [], [], ["7"]]
+
+
+def test_paged_catalogues_say_whether_they_are_whole():
+    pages = {1: [{"i": k} for k in range(3)], 2: [{"i": 3}, {"i": 4}, "x"], 3: [{"i": 6}]}
+    assert files.pages_until(lambda p, n: pages.get(p), 3, 10) == ([*pages[1], *pages[2], *pages[3]], True)
+    assert files.pages_until(lambda p, n: pages.get(p), 3, 2) == ([*pages[1], *pages[2]], False)
+    assert files.pages_until(lambda p, n: (pages.get(p), 5), 3, 10) == ([*pages[1], {"i": 3}, {"i": 4}], True)
+    assert files.pages_until(lambda p, n: None, 3, 10) == ([], True)
+
+
+def test_a_batch_meets_the_side_as_it_is_then(spark):
+    sizes, seen = iter([3, 5]), []
+    work = jobs.with_reloaded_side(lambda: spark.range(next(sizes)), lambda batch, side: seen.append((batch.count(), side.count())))
+    for i in (0, 1):
+        work(spark.range(2), i)
+    assert seen == [(2, 3), (2, 5)]
+
+
+def test_a_contract_gives_only_the_fields_asked_for(spark):
+    from docweave.operators import extract
+
+    docs = spark.createDataFrame([(1, "HỢP ĐỒNG TƯ VẤN\nSố: 5/HĐ-TV\nGiá trị hợp đồng: 1.000.000 đồng")], "doc_id int, clean_text string")
+    some = extract.contract_fields(docs, only=["contract_number", "contractor_contract_amount"])
+    whole = extract.contract_fields(docs).first()
+    assert "advance_guarantee_value" not in some.columns and all(some.first()[k] == whole[k] is not None or some.first()[k] == whole[k] for k in ("contract_number", "contractor_contract_amount"))
+    assert whole.contractor_contract_amount.amount == 1e6
