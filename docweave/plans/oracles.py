@@ -96,7 +96,7 @@ SQL["q_needs_review"] = f"SELECT o_orderkey AS doc_id, {_CONF} < 0.68 AS needs_r
 SQL["q_llm_routing"] = """
 SELECT o_orderkey AS doc_id, true AS use_llm, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 1 THEN 'missing_signed_or_effective_date_issuer' WHEN o_orderkey % 5 = 0 THEN 'missing_signed_or_effective_date'
   WHEN o_orderkey % 2 = 1 THEN 'missing_issuer' ELSE 'missing_submitted_value' END AS llm_reason FROM orders"""
-SQL["q_json_recover"] = "SELECT event_id, event_id % 3 <> 2 AND json_valid(props) AND json_type(props) = 'OBJECT' AND props <> '{}' AS found FROM events"
+SQL["q_json_recover"] = "SELECT event_id, event_id % 3 <> 2 AND json_valid(props) AND json_type(props) = 'OBJECT' AND props <> '{}' AS found, CASE WHEN event_id % 3 <> 2 THEN json_extract(props, '$.k')::BIGINT END AS k FROM events"
 SQL["q_events_props"] = "SELECT k, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || k)) AS n_values FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY k"
 SQL["q_snippet_budget"] = rf"""
 WITH n AS (SELECT doc_id, pos, line, {_RULES} AS norm FROM {_LINES}), w AS (SELECT * FROM n WHERE pos < 10 OR regexp_matches(norm, 'the|que')),

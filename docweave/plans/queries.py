@@ -307,7 +307,7 @@ def q_json_recover(spark, sf):
     e = table(spark, sf, "events")
     fenced = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("answer: "), F.col("props"), F.lit(" end"))).otherwise(F.lit("no object"))
     found = e.select("event_id", jsonops.recover_json(fenced).alias("j"))
-    return found.select("event_id", (F.col("j") != "{}").alias("found"))
+    return found.select("event_id", (F.col("j") != "{}").alias("found"), F.get_json_object("j", "$.k").cast("long").alias("k"))
 
 
 @query
