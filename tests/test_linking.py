@@ -141,6 +141,26 @@ def test_alerts_at_the_end_of_an_hour_equal_the_sql(spark, tmp_path):
     assert got == want and [e for e, _, _, alert in sorted(got) if alert] == [4]
 
 
+def test_best_single_compares_only_pairs_that_can_win(spark, monkeypatch):
+    segments = spark.createDataFrame([(1, "a", 1, 1, "Số: 12/QĐ", 0.1, 0.1, 0.2, 0.02), (1, "b", 0, 1, "nội dung khác", 0.1, 0.2, 0.2, 0.02), (1, "c", 2, 1, "số 12/QĐ", 0.1, 0.2, 0.2, 0.02), (1, "d", 3, 1, "Số: 12/qđ", 0.1, 0.2, 0.2, 0.02)], SEGMENT)
+    kinds = "doc_id int, f_ord int, field_key string, evidence string, value string, norm string"
+    near = spark.createDataFrame([(1, 0, "n", "nội dunq khac", None, None), (1, 1, "m", "Số: 13/QĐ", "không có gì", None), (1, None, "o", "zzz", None, "Số: 12/QĐ")], kinds)
+    pairs = near.select("f_ord", F.explode(F.filter(F.array("evidence", "value", "norm"), lambda x: x.isNotNull())).alias("t")).crossJoin(segments)
+    words = lambda c: F.split(layout.normalize_layout(F.col(c)), " ")
+    scored = pairs.select("f_ord", "ord", "seg_id", F.round(layout.match_score(layout.normalize_layout(F.col("t")), layout.normalize_layout(F.col("text")), words("t"), words("text")), 4).alias("score"))
+    want = {}
+    for r in sorted(scored.collect(), key=lambda r: (-r.score, r.ord)):
+        want.setdefault(r.f_ord, (r.seg_id, r.score))
+    assert {r.f_ord: (r.seg_id, r.score) for r in layout.best_single(near, segments).collect()} == want
+
+    def fail(a, b):
+        return F.raise_error(F.lit("compared")).cast("double")
+
+    monkeypatch.setattr(layout, "sequence_ratio", fail)
+    equal = spark.createDataFrame([(1, 0, "n", "Số: 12/QĐ", "12/QĐ", None), (1, 1, "m", None, "x", "nội dung khác"), (1, 2, "o", "số: 12/qđ", None, None)], kinds)
+    assert {(r.f_ord, r.seg_id, r.score) for r in layout.best_single(equal, segments).collect()} == {(0, "a", 1.0), (1, "b", 1.0), (2, "a", 1.0)}
+
+
 def test_best_single_and_rematch(spark):
     segments = spark.createDataFrame([(1, "a", 0, 1, "Số: 12/QĐ", 0.1, 0.1, 0.2, 0.02), (1, "b", 1, 1, "khác", 0.1, 0.2, 0.2, 0.02)], SEGMENT)
     fields = spark.createDataFrame([(1, 0, "n", "Số: 12/QĐ", "12/QĐ", None), (1, 1, "m", None, None, None)], "doc_id int, f_ord int, field_key string, evidence string, value string, norm string")
