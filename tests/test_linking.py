@@ -161,6 +161,21 @@ def test_best_single_compares_only_pairs_that_can_win(spark, monkeypatch):
     assert {(r.f_ord, r.seg_id, r.score) for r in layout.best_single(equal, segments).collect()} == {(0, "a", 1.0), (1, "b", 1.0), (2, "a", 1.0)}
 
 
+def test_shortlist_finds_every_containment_without_the_rest(spark):
+    lines = ["alpha beta gamma", "xalpha beta gammay", "ab", "beta", "Số: 12/QĐ-BQL", "khác hẳn", "b", "alpha", "a" * 40]
+    texts = ["alpha beta gamma", "ab", "the beta test", "12/qđ", "zz", "", "alph", "a" * 39, "eta ga"]
+    groups = spark.createDataFrame([(d, i, [f"s{i}"], t, 1, 1) for d in (1, 2) for i, t in enumerate(lines)], "doc_id int, g_ord int, members array<string>, text string, page int, n int")
+    asked = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(3, 0, "beta")], "doc_id int, t_id int, text string")
+    exact = layout.shortlist(asked, groups).where("exact")
+    g, t = [layout.plain_layout(x) for x in lines], [layout.plain_layout(x) for x in texts]
+    want = {(1, i, j) for i, a in enumerate(t) for j, b in enumerate(g) if a and (a in b or (len(b) >= 4 and b in a))}
+    assert len(want) > 10 and {(r.doc_id, r.t_id, r.g_ord) for r in exact.collect()} == want
+    assert "votes" not in exact._jdf.queryExecution().optimizedPlan().toString()
+    # with all of the short list, each pair stands once and exact ones say so
+    rows = layout.shortlist(asked, groups).select("doc_id", "t_id", "g_ord", "exact").collect()
+    assert len({tuple(r)[:3] for r in rows}) == len(rows) and {tuple(r)[:3] for r in rows if r.exact} == want
+
+
 def test_best_single_and_rematch(spark):
     segments = spark.createDataFrame([(1, "a", 0, 1, "Số: 12/QĐ", 0.1, 0.1, 0.2, 0.02), (1, "b", 1, 1, "khác", 0.1, 0.2, 0.2, 0.02)], SEGMENT)
     fields = spark.createDataFrame([(1, 0, "n", "Số: 12/QĐ", "12/QĐ", None), (1, 1, "m", None, None, None)], "doc_id int, f_ord int, field_key string, evidence string, value string, norm string")
