@@ -67,6 +67,10 @@ def payload_fields(answers: DataFrame, keys: list[str], answer: str = "answer")
 
 def budget_lines(lines: Column, head: int, budget: int, words: list[str] = SNIPPET_WORDS) -> Column:
     """The first lines and those with a word, while what is taken so far is under the budget; each once, cut."""
+    return let(lines, lambda a: _budget_lines(a, head, budget, words))
+
+
+def _budget_lines(lines: Column, head: int, budget: int, words: list[str]) -> Column:
     rest = F.filter(F.slice(lines, F.lit(head + 1), F.greatest(F.size(lines), F.lit(0))), lambda s: normalize_rules(s).rlike("|".join(words)))
     start = F.struct(F.array_join(F.slice(lines, 1, head), "\n").alias("x"), F.slice(lines, 1, head).alias("a"))
 

@@ -334,7 +334,7 @@ SELECT o_orderkey AS doc_id, array_to_string(a, chr(10)) AS entity, array_to_str
   left(left(array_to_string(a, chr(10)), 100) || CASE WHEN len(list_filter(a[31:], lambda s: s LIKE 'Dự án%')) > 0 THEN chr(10) || array_to_string(list_filter(a[31:], lambda s: s LIKE 'Dự án%'), chr(10)) ELSE chr(10) END, 200) AS tiebreak FROM t""")
 def q_fallback_text(spark, sf):
     """J6 to J8."""
-    df = T.once(orders(spark, sf), ln=numbered_lines())
+    df = T.once(spread(orders(spark, sf)), ln=numbered_lines())
     return df.select(num().alias("doc_id"), jsonops.entity_text(F.concat(F.array(F.lit("CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM")), "ln")).alias("entity"), jsonops.fallback_text(F.col("ln"), F.array(cat("E ", key()))).alias("fallback"), jsonops.tiebreaker_text(F.col("ln"), 200).alias("tiebreak"))
 
 
