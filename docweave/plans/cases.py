@@ -225,7 +225,7 @@ def q_signed_date_branches(spark, sf):
         5, cat("QUYẾT ĐỊNH\nNgày ký: ", day), cat("QUYẾT ĐỊNH\nHọp vào ", day, " tại trụ sở"), cat("QUYẾT ĐỊNH\n", F.repeat(F.lit("Nội dung của văn bản này\n"), 90), "Họp vào ", day), cat("Độc lập - Tự do - Hạnh phúc\nHà Nội, ", worded, "\nQUYẾT ĐỊNH\nHọp ngày 01/01/2001"),
         cat("QUYẾT ĐỊNH\nCăn cứ Luật số 43 ", worded),
     )
-    df = T.once(C.with_lines(spread(orders(spark, sf).select(num(), "o_orderdate", text.alias("text"))), "text"), f=extract.signed_date(C.title_kind(C.head(90))))
+    df = T.once(C.with_lines(spread(orders(spark, sf).select(num(), "o_orderdate", text.alias("text"))), "text", only=("lines",)), f=extract.signed_date(C.title_kind(C.head(90))))
     return df.select(num().alias("doc_id"), F.col("f.norm").alias("iso"), F.col("f.confidence").alias("confidence"))
 
 

@@ -16,7 +16,7 @@ def generated(df):
     return set(re.findall(r"\[(\w+)#\d+\]", df._jdf.queryExecution().optimizedPlan().toString()))
 
 
-@pytest.mark.parametrize(("name", "unread"), [("q_title_kind", {"norm", "sample", "context"}), ("q_signed_date", {"norm", "sample", "context"}), ("q_latest_date", {"lines", "norm", "sample", "context"})])
+@pytest.mark.parametrize(("name", "unread"), [("q_title_kind", {"norm", "sample", "context"}), ("q_signed_date", {"norm", "sample", "context"}), ("q_signed_date_branches", {"norm", "sample", "context"}), ("q_latest_date", {"lines", "norm", "sample", "context"})])
 def test_queries_make_no_columns_that_they_leave_unread(spark, sf, name, unread):
     made = generated(__spark_entry__.queries()[name](spark, sf))
     assert "body" in made and not made & unread
