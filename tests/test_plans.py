@@ -45,3 +45,18 @@ def test_normal_forms_of_odd_characters(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i")
     assert [r[0] for r in df.select(T.normalize_rules(F.col("s"))).collect()] == ["a b", "x y z", "dong %(1)", "mat a", "a_b", "iik", ""]
     assert [r[0] for r in df.select(T.collapse(F.col("s"))).collect()] == ["A B", "x y z", "Đ́ỒNG %(1)", "\U0001f600 mặt — a", "a_b\x7f", "İIK", ""]
+
+
+def test_repeated_amounts_and_dates_are_listed_as_often_as_they_stand(spark, tmp_path):
+    rows = [(7, 1, "O", 1000.5, "1995-01-01"), (28, 2, "F", 1000.0, "2030-11-26"), (14, 3, "P", 1000.0, "1995-01-01"), (21, 4, "O", 999.0, "1995-01-01")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, d string").withColumn("o_orderdate", F.to_timestamp("d"))
+    orders.drop("d").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.doc_id: (r.dates, r.amounts) for r in __spark_entry__.queries()["q_generic_fields"](spark, str(tmp_path)).collect()}
+    day = "ngày 26 tháng 11 năm 2030"
+    assert got == {7: ("ngày 01 tháng 01 năm 1995", "1.000 đồng|1.000 đồng"), 28: (f"{day}|{day}", "1.000 đồng|1.000 đồng"), 21: ("ngày 01 tháng 01 năm 1995", "1.000 đồng")}
+
+
+def test_generic_fields_are_distinct_by_default(spark):
+    df = C.with_lines(spark.createDataFrame([("1.000 đồng, 1.000 đồng; 3/4/2015 và 3/4/2015",)], "text string"), "text")
+    g = T.once(df, g=extract.generic_fields()).select("g.monetary_amounts", "g.dates").first()
+    assert g == (["1.000 đồng"], ["3/4/2015"])
